@@ -11,5 +11,11 @@ def op9_fingerprint(spark, sf_dir):
     return edited_neighbours(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_fingerprint": op9_fingerprint}
+def op7_bpe(spark, sf_dir):
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_bpe": op7_bpe, "op9_fingerprint": op9_fingerprint}
 ORACLE: dict[str, str] = {}
