@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
+from .decontaminate import ORACLE as _decontaminate
 
 
 def op9_fingerprint(spark, sf_dir):
@@ -17,5 +18,11 @@ def op7_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op9_fingerprint": op9_fingerprint}
-ORACLE: dict[str, str] = {}
+def op8_decontamination(spark, sf_dir):
+    from .decontaminate import digests
+
+    return digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op7_bpe": op7_bpe, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint}
+ORACLE: dict[str, str] = {"op8_decontamination": _decontaminate}
