@@ -24,5 +24,11 @@ def op8_decontamination(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint}
+def op1_brown(spark, sf_dir):
+    from .brown import train_and_score
+
+    return train_and_score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_brown": op1_brown, "op7_bpe": op7_bpe, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint}
 ORACLE: dict[str, str] = {"op8_decontamination": _decontaminate}
