@@ -30,5 +30,11 @@ def op1_brown(spark, sf_dir):
     return train_and_score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_brown": op1_brown, "op7_bpe": op7_bpe, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint}
+def op2_toxicity(spark, sf_dir):
+    from .toxicity import held_out_scores
+
+    return held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_brown": op1_brown, "op2_toxicity": op2_toxicity, "op7_bpe": op7_bpe, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint}
 ORACLE: dict[str, str] = {"op8_decontamination": _decontaminate}

@@ -101,12 +101,12 @@ def spans(data: np.ndarray, offs: np.ndarray, isword: np.ndarray) -> tuple[np.nd
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def words(col: pa.Array, isword: np.ndarray = SPACED, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(col: pa.Array, isword: np.ndarray = SPACED, fold: bool = True, prefix: int = 0) -> tuple[np.ndarray, ...]:
     """64-bit hashes of all words of a column, with the index of each row's first word (one more than rows), and the
-    words' first and last-plus-one bytes in raw()'s data."""
+    words' first and last-plus-one bytes in raw()'s data. prefix: also hashes of the words' first so many bytes."""
     data, offs = raw(col)
     table = _FOLDED if fold else _BYTE
-    hashes, begins, ends = [], [], []
+    hashes, begins, ends, heads = [], [], [], []
     for a, b in _cuts(data, offs, isword):
         part = data[a:b]
         lo, hi = np.searchsorted(offs, a, "left"), np.searchsorted(offs, b, "right")
@@ -116,11 +116,14 @@ def words(col: pa.Array, isword: np.ndarray = SPACED, fold: bool = True) -> tupl
         total = np.zeros(b - a + 1, U)
         np.cumsum(table[part] * p[: b - a], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * inv[s] + (e - s).astype(U)))
+        if prefix:
+            heads.append(mix((total[np.minimum(s + prefix, e)] - total[s]) * inv[s]))
         begins.append(s + a)
         ends.append(e + a)
     none = np.zeros(0, np.int64)
     s = np.concatenate([none, *begins])
-    return np.concatenate([none.astype(U), *hashes]), np.searchsorted(s, offs, "left"), s, np.concatenate([none, *ends])
+    out = np.concatenate([none.astype(U), *hashes]), np.searchsorted(s, offs, "left"), s, np.concatenate([none, *ends])
+    return (*out, np.concatenate([none.astype(U), *heads])) if prefix else out
 
 
 def hash_bytes(words: list[bytes], fold: bool = True) -> np.ndarray:
