@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..session import table
 from .decontaminate import ORACLE as _decontaminate
+from .substring import ORACLE as _substring
 
 
 def op9_fingerprint(spark, sf_dir):
@@ -36,5 +37,11 @@ def op2_toxicity(spark, sf_dir):
     return held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_brown": op1_brown, "op2_toxicity": op2_toxicity, "op7_bpe": op7_bpe, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint}
-ORACLE: dict[str, str] = {"op8_decontamination": _decontaminate}
+def op3_substrings(spark, sf_dir):
+    from .substring import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_brown": op1_brown, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op7_bpe": op7_bpe, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint}
+ORACLE: dict[str, str] = {"op3_substrings": _substring, "op8_decontamination": _decontaminate}
