@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ..session import table
 from .decontaminate import ORACLE as _decontaminate
+from .neardup import ORACLE as _neardup
+from .neardup import ORACLE as _neardup
 from .substring import ORACLE as _substring
 
 
@@ -43,5 +45,11 @@ def op3_substrings(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_brown": op1_brown, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op7_bpe": op7_bpe, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint}
-ORACLE: dict[str, str] = {"op3_substrings": _substring, "op8_decontamination": _decontaminate}
+def op4_neardup(spark, sf_dir):
+    from .neardup import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_brown": op1_brown, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op7_bpe": op7_bpe, "op4_neardup": op4_neardup, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint}
+ORACLE: dict[str, str] = {"op3_substrings": _substring, "op4_neardup": _neardup, "op8_decontamination": _decontaminate}
