@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from ..session import table
 from .decontaminate import ORACLE as _decontaminate
+from .licenses import ORACLE as _licenses
 from .neardup import ORACLE as _neardup
+from .licenses import ORACLE as _licenses
 from .neardup import ORACLE as _neardup
 from .substring import ORACLE as _substring
 
@@ -51,5 +53,11 @@ def op4_neardup(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_brown": op1_brown, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op7_bpe": op7_bpe, "op4_neardup": op4_neardup, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint}
-ORACLE: dict[str, str] = {"op3_substrings": _substring, "op4_neardup": _neardup, "op8_decontamination": _decontaminate}
+def op6_licenses(spark, sf_dir):
+    from .licenses import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_brown": op1_brown, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op7_bpe": op7_bpe, "op4_neardup": op4_neardup, "op6_licenses": op6_licenses, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint}
+ORACLE: dict[str, str] = {"op3_substrings": _substring, "op4_neardup": _neardup, "op6_licenses": _licenses, "op8_decontamination": _decontaminate}
