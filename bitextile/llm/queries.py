@@ -59,5 +59,17 @@ def op6_licenses(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_brown": op1_brown, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op7_bpe": op7_bpe, "op4_neardup": op4_neardup, "op6_licenses": op6_licenses, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint}
+def op5_html(spark, sf_dir):
+    from .htmltext import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_packing(spark, sf_dir):
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_brown": op1_brown, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op7_bpe": op7_bpe, "op4_neardup": op4_neardup, "op5_html": op5_html, "op6_licenses": op6_licenses, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint, "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {"op3_substrings": _substring, "op4_neardup": _neardup, "op6_licenses": _licenses, "op8_decontamination": _decontaminate}
