@@ -6,8 +6,10 @@ content alone, so two equal windows always pick the same run; a picked run that
 smallest doc_id with it is its owner. Each text's words around its anchors go to the shard of their owner: every pair
 of equal windows meets in the shard of an anchor within them. A shard reads its texts by ascending doc_id: the
 matching statistics of each against the suffix automaton of the smaller ones give its maximal spans of WINDOW words or
-more, then the windows that the automaton lacks are put into it. A shard that would get more than SHARD words (a very
-common passage) is settled exactly by window hashes instead: the smallest doc_id of each, combined before the shuffle.
+more, then the windows that the automaton lacks are put into it, so it grows with what is new and not with copies. Two
+bounds hold, each with an exact way for the rest: a shard that would read more than SHARD words (a very common passage)
+isn't read by one task, and an automaton takes HELD words at most. The windows beyond are settled by their hashes: the
+smallest doc_id of each, combined before the shuffle.
 
 References can't be broadcast as such: all texts are references of all later ones, so an automaton of each part of the
 corpus sent to all of it would cost the square of the corpus. Here a shard's automaton meets the texts that share an
@@ -30,7 +32,8 @@ from ..session import materialize, prepare
 from . import textvec as tv
 from .fingerprint import slices
 
-WINDOW, GRAM, SHARD = 50, 20, 150_000
+WINDOW, GRAM = 50, 20
+SHARD, HELD = 4_000_000, 200_000
 _SPOT = 28
 
 
@@ -100,7 +103,8 @@ def _regions(batches):
                 for (owner, hot), spots in by.items():
                     for a, e in _unions(np.array(spots), len(own)):
                         if hot:
-                            rows.append((owner, doc, sha, a, None, tv.windows(own[a:e], WINDOW).view(np.int64)))
+                            cut = own & tv.U((1 << 48) - 1)  # as shards have them
+                            rows.append((owner, doc, sha, a, None, tv.windows(cut[a:e], WINDOW).view(np.int64)))
                         else:
                             rows.append((owner, doc, sha, a, packed[a:e].tobytes(), None))
             yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("owner", pa.int64()), ("doc_id", pa.int64()), ("words_sha", pa.string()), ("start", pa.int32()), ("words", pa.binary()), ("hashes", pa.list_(pa.int64()))))})
@@ -183,35 +187,44 @@ def _ranges(ends: list[int]) -> list[tuple[int, int]]:
 
 
 def _shards(batches):
-    """Regions sorted by owner, doc_id -> repeated spans."""
-    automaton, shard, doc, waiting = SuffixAutomaton(), None, None, []
+    """Regions sorted by owner, doc_id -> repeated spans (no hash), and hashes of new windows that aren't held."""
+    automaton, shard, doc, waiting, held = SuffixAutomaton(), None, None, [], 0
 
     def settle():
+        nonlocal held
         for words, missing in waiting:
             for a, e in _ranges(missing):
                 automaton.add(words[a:e])
+                held += e - a
         waiting.clear()
 
+    kinds = (("doc_id", pa.int64()), ("words_sha", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("window", pa.int64()))
     for b in batches:
         out: list[tuple] = []
         for owner, d, sha, start, packed in zip(*(b.column(c).to_pylist() for c in range(5))):
             if owner != shard:
-                automaton, shard, doc = SuffixAutomaton(), owner, d
+                automaton, shard, doc, held = SuffixAutomaton(), owner, d, 0
                 waiting.clear()
             elif d != doc:
                 settle()
                 doc = d
             wide = np.zeros((len(packed) // 6, 8), np.uint8)
             wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-            words = wide.view(np.int64).ravel().tolist()
-            ends = automaton.matches(words, WINDOW) if len(automaton.next) > 1 else []
-            out += [(d, sha, start + a, start + e) for a, e in _ranges(ends)]
+            words = wide.view(np.int64).ravel()
+            symbols = words.tolist()
+            ends = automaton.matches(symbols, WINDOW) if len(automaton.next) > 1 else []
+            out += [(d, sha, start + a, start + e, None) for a, e in _ranges(ends)]
             known = set(ends)
-            waiting.append((words, [e for e in range(WINDOW - 1, len(words)) if e not in known]))
-        yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("doc_id", pa.int64()), ("words_sha", pa.string()), ("start", pa.int32()), ("end", pa.int32())))})
+            missing = [e for e in range(WINDOW - 1, len(symbols)) if e not in known]
+            if held < HELD:
+                waiting.append((symbols, missing))
+            elif missing:
+                h = tv.windows(words.view(tv.U), WINDOW).view(np.int64)
+                out += [(d, sha, start + e - WINDOW + 1, start + e + 1, int(h[e - WINDOW + 1])) for e in missing]
+        yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(kinds)})
 
 
-SPAN = "doc_id long, words_sha string, start int, end int"
+SPAN = "doc_id long, words_sha string, start int, end int, window long"
 
 
 class Repeats:
@@ -242,10 +255,13 @@ class Repeats:
         regions = self.texts.mapInArrow(_regions, "owner long, doc_id long, words_sha string, start int, words binary, hashes array<long>")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         cold = regions.where("words is not null").select("owner", "doc_id", "words_sha", "start", "words").repartition(parts, "owner").sortWithinPartitions("owner", "doc_id", "start")
-        found = cold.mapInArrow(_shards, SPAN)
+        found = materialize(cold.mapInArrow(_shards, SPAN))
         windows = regions.where("hashes is not null").select("doc_id", "words_sha", "start", F.posexplode("hashes").alias("k", "window"))
+        windows = windows.select("doc_id", "words_sha", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k") + WINDOW).alias("end"), "window")
+        windows = windows.unionAll(found.where("window is not null"))
         least = windows.groupBy("window").agg(F.min("doc_id").alias("least"))
-        common = windows.join(least, "window").where("least < doc_id").select("doc_id", "words_sha", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k") + WINDOW).alias("end"))
+        common = windows.join(least, "window").where("least < doc_id").select("doc_id", "words_sha", "start", "end")
+        found = found.where("window is null").drop("window")
         self.spans = found.unionAll(common).groupBy("doc_id", "words_sha").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
