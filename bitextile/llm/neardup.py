@@ -6,10 +6,12 @@ grows with their similarity. BANDS keys of four registers each put documents int
 miss each other in all of them with a probability of 2e-8. Equal sets are settled first, by their hash.
 
 No bucket is collected or paired off: each of its members is compared with one centre (in two rounds, with two choices
-of centre), links merge components, and only members of buckets whose components are still apart are compared across
-components, which is exact however large a bucket is. A pair is first estimated from the registers by maximum
-likelihood (pairs below ESTIMATE, more than six standard deviations under 0.8, go), then verified on the full sets of
-the whole texts. Components are found by alternating large and small stars over Parquet tables.
+of centre) and links merge components. For the documents of buckets whose components are still apart, links across
+components are found exactly, however large a bucket is, by a prefix join on their full sets: elements in one order,
+rarest first; two similar sets share an element of their prefixes, early enough in both. A document's own edits come
+first in its order, so one that is too far from its group meets none of it. A pair is first estimated from the
+registers by maximum likelihood (pairs below ESTIMATE, more than six standard deviations under 0.8, go), then verified
+on the full sets of the whole texts. Components are found by alternating large and small stars over Parquet tables.
 
 Defined results: documents without words have size 0, are linked with nothing and are kept; with fewer words than a
 run has, the whole sequence is the one element. Rows without doc_id are never linked. Repeated rows have equal sets
@@ -135,6 +137,48 @@ def _verify(shingle: int, percent: int):
     return run
 
 
+def _elements(shingle: int):
+    def run(batches):
+        for b in batches:
+            for lo, hi in slices(b.column(1)):
+                found = sets(b.column(1).slice(lo, hi - lo), shingle)
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+                every = np.concatenate([np.zeros(0, tv.U), *found]).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"node": b.column(0).slice(lo, hi - lo), "component": b.column(2).slice(lo, hi - lo), "elements": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every))})
+
+    return run
+
+
+def _prefix_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """node, text, component -> all pairs (a, b) of different components that can reach the similarity.
+
+    The order is by how many of these sets have an element; elements of one set only can't be shared and come first.
+    The smaller set of a pair must have the common element in its first n - ceil(2t / (1 + t) n) + 1, the larger one in
+    its first n - ceil(tn) + 1, and as many elements must be left in both as the overlap needs.
+    """
+    rows = texts.select("node", "text", "component").mapInArrow(_elements(shingle), "node long, component long, elements array<long>")
+    each = materialize(rows).select("node", "component", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+    common = each.groupBy("element").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("c > 1")
+    # An element of one component only takes its place in the order, and joins nothing.
+    kept = each.join(common.select("element", "c", (F.col("low") < F.col("high")).alias("joins")), "element")
+    ordered = kept.groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("c", "element", "joins"))).alias("shared"))
+    first = F.col("n") - F.size("shared")  # how many come before, in this set only
+    prefix = ordered.select("node", "component", "n", first.alias("first"), F.posexplode(F.expr("slice(shared, 1, greatest(0, int(n - ceil(n * {p} / 100) + 1) - (n - size(shared))))".replace("{p}", str(percent)))).alias("k", "s"))
+    prefix = prefix.where("s.joins").select(F.col("s.element").alias("element"), "node", "component", "n", (F.col("first") + F.col("k")).alias("at"), (F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).alias("short"))
+    prefix = materialize(prefix)
+    # The largest component of each element meets the others only, so its members never meet each other.
+    most = prefix.groupBy("element", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("element").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    most = most.select("element", F.col("m.component").alias("largest"))
+    live = prefix.join(most, "element")
+    left, right = (live.select("element", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "at", "short", "largest")]) for s in "lr")
+    small = (F.col("n_l") < F.col("n_r")) | ((F.col("n_l") == F.col("n_r")) & (F.col("node_l") < F.col("node_r")))
+    near = (F.col("component_l") != F.col("component_r")) & (F.least("n_l", "n_r") * 100 >= F.greatest("n_l", "n_r") * percent)
+    near &= F.when(small, F.col("at_l") < F.col("short_l")).otherwise(F.col("at_r") < F.col("short_r"))
+    near &= F.least(F.col("n_l") - F.col("at_l"), F.col("n_r") - F.col("at_r")) * (100 + percent) >= (F.col("n_l") + F.col("n_r")) * percent
+    met = left.where("component_l != largest_l").alias("l").join(right.alias("r"), (F.col("l.element") == F.col("r.element")) & near)
+    return met.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of links (a, b)."""
     edges = materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -180,10 +224,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     for last in (False, True):
         placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "component")).alias("centre")).where("low < high")
-        open_ = materialize(placed.join(apart.select("key", "centre"), "key"))
+        open_ = placed.join(apart.select("key", "centre"), "key")
         if last:
-            left, right = (open_.select("key", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-            pairs = left.join(right, "key").where("ca < cb").select("a", "b")
+            nodes_ = materialize(open_.select("node", "component").distinct())
+            pairs = _prefix_pairs(texts.join(nodes_, "node"), shingle, percent)
         else:
             pairs = open_.where("component != centre.component").select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
         links = links.unionAll(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
