@@ -110,7 +110,9 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     found = met.groupBy("_key").agg(F.collect_set("label").alias("_own"), F.max(F.col("common") / F.col("size")).alias("_best"))
 
     places_ = F.col("_places")
-    return base.join(found, "_key", "left").select(
+    rest = base.where("_key is null").select("*", F.lit(None).cast("array<string>").alias("_own"), F.lit(None).cast("double").alias("_best"))  # most texts: no join
+    joined = base.where("_key is not null").join(found, "_key", "left").select(*base.columns, "_own", "_best").unionAll(rest)
+    return joined.select(
         *keep, "n_words", F.size(places_).cast("long").alias("n_base"), F.when(F.size(places_) > 0, F.array_min(places_)).cast("long").alias("first_word"),
         F.when(F.size(places_) > 0, F.array_max(places_)).cast("long").alias("last_word"), F.array_join("_base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(F.col("_base"), F.coalesce("_own", F.array().cast("array<string>")))), ",").alias("labels"),
