@@ -1,6 +1,6 @@
 """Token-id output: best-fit-decreasing packing of texts into rows of a fixed length.
 
-A worker encodes its texts and packs them block by block (BLOCK tokens, or one longer text): texts longer than a row
+A worker encodes its texts (special strings in a text are ordinary text) and packs them block by block (BLOCK tokens, or one longer text): texts longer than a row
 are cut into whole rows and a rest, nothing is lost; the pieces, longest first, each go to the fullest row that still
 has room, found by a search down a segment tree over the remaining capacities. A packed row has its ids (16-bit, or
 32-bit where the vocabulary needs it, little-endian, padded to the row length), the texts and offsets that its segments come
@@ -21,11 +21,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from .bpe import encoder, vocabulary
+from . import bpe
 
 LENGTH, BLOCK = 2048, 1 << 20
 
 
+def ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+_encoders: dict = {}
+
+
+def encoder(path: str):
+    """encode(text) and the number of ids, of a rank file or a tokenizers JSON file; one for each worker process."""
+    if path not in _encoders:
+        if path.endswith(".tiktoken"):
+            import base64
+
+            import tiktoken
+
+            with open(path, "rb") as f:
+                own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            e = tiktoken.Encoding("own", pat_str=bpe.SPLIT, mergeable_ranks=own, special_tokens={})
+            _encoders[path] = (e.encode_ordinary, max(own.values()) + 1)
+        else:
+            own = bpe.encoder(path)
+            _encoders[path] = (own.encode, max(own.bytes) + 1)
+    return _encoders[path]
+
+
 class BestFit:
     """Rows by what room they have left; the least room that is enough is found in a segment tree over capacities."""
 
@@ -88,11 +115,11 @@ SCHEMA = "pack_id long, n_tokens int, n_segments int, doc_ids array<long>, doc_o
 def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, pad: int = 0) -> DataFrame:
     """Packed rows of all documents. Positions follow from cu_seqlens (see positions())."""
     prepare(docs.sparkSession)
-    path = path or vocabulary()
+    path = path or ranks()
 
     def run(batches):
-        e = encoder(path)
-        kind = np.dtype("<u2" if max(e.bytes) < 1 << 16 else "<u4")
+        encode, size = encoder(path)
+        kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         serial = TaskContext.get().partitionId() << 33
         texts: list[np.ndarray] = []
         owners: list[int | None] = []
@@ -119,7 +146,8 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, pad:
         total = 0
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = e.encode(t.as_py())
+                text = t.as_py()
+                ids = encode(text) if text else ()
                 if ids:
                     texts.append(np.array(ids, kind))
                     owners.append(d)
