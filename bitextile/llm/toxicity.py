@@ -12,7 +12,7 @@ at most for calibration, drawn by a hash of doc_id; these two bounds are the par
 documents are scored. Labels, lang, source and doc_id never enter a score.
 
 Defined results: null and empty texts have no segment and the score that goes with that; without labels of both kinds
-the score is their rate (0.5 without any). Several labels for one id: the largest counts; null labels don't. Repeated
+the score is their smoothed rate (0.25 without any). Several labels for one id: the largest counts; null labels don't. Repeated
 documents are scored each by itself. Extra columns are ignored.
 """
 
@@ -121,7 +121,7 @@ class Calibration:
             self.offset = float(np.mean(self.rate * x - y)) - 0.5772156649
         self.weights = np.zeros(3)
         ones = float(toxic.sum())
-        rate = (ones + 0.5) / (len(toxic) + 1)
+        rate = (ones + 0.5) / (len(toxic) + 2)
         self.bias = float(np.log(rate / (1 - rate)))
         if 0 < ones < len(toxic):
             x = self.features(best, n, total)
