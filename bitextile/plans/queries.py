@@ -304,3 +304,60 @@ def czech_order(spark, sf):
     """Distinct words with their place keys in the Czech alphabet."""
     words = docs(spark, sf).select(F.explode(T.tokens(F.col("text"))).alias("w")).where(T.token_kind(F.col("w")) == "word").select(F.lower("w").alias("w")).distinct()
     return words.select("w", T.czech_sort_key(F.col("w")).alias("sort_key"))
+
+
+@query()
+def policy_gates(spark, sf):
+    from ..operators import planning
+
+    return planning.gated(sequence.token_alignment(docs(spark, sf)), planning.Gates(require_low_false_friend_risk=True))
+
+
+@query()
+def family_schedule(spark, sf):
+    from ..operators import planning
+
+    return planning.schedules(timeline.timeline(_occurrences(spark, sf)), 8)
+
+
+@query()
+def unit_plans(spark, sf):
+    from ..operators import planning
+
+    d = docs(spark, sf)
+    words = corpus.doc_pairs(d).where(F.size("b") > 0).select("pair_id", F.posexplode("a").alias("k", "t")).select("pair_id", (F.col("k") + 1).alias("source_paragraph"), F.size(F.filter(T.tokens(F.col("t")), lambda x: x.rlike(r"\p{L}"))).alias("words"))
+    return planning.unit_plans(sequence.token_alignment(d), words)
+
+
+@query()
+def hybrid_sentences(spark, sf):
+    from ..operators import planning
+
+    return planning.hybrid_sentences(docs(spark, sf))
+
+
+@query()
+def dictionary(spark, sf):
+    from ..operators import planning
+
+    d = docs(spark, sf)
+    texts = sequence.sentence_links(d).select("pair_id", "source_paragraph", "source_start", "source_text", "target_text")
+    return planning.dictionary(sequence.token_alignment(d), texts)
+
+
+@query("with recursive t as (select l_orderkey as s, cast(l_linenumber as bigint) as k from lineitem group by all), up as (select s, k, k as root from t union select up.s, up.k, up.root // 2 from up where up.root // 2 > 0 and exists (select 1 from t where t.s = up.s and t.k = up.root // 2)) select s as sentence_id, root, count(*) as size from up group by s, root")
+def tree_closure(spark, sf):
+    """Tokens are the line numbers of an order; a token's head is half its number."""
+    from ..operators import planning
+
+    t = table(prepare(spark), sf, "lineitem").select(F.col("l_orderkey").alias("sentence_id"), F.col("l_linenumber").cast("long").alias("token")).distinct()
+    heads = t.select("sentence_id", "token", F.floor(F.col("token") / 2).cast("long").alias("head"))
+    kept = heads.join(t.select("sentence_id", F.col("token").alias("head"), F.lit(True).alias("there")), ["sentence_id", "head"], "left")
+    return planning.subtrees(kept.select("sentence_id", "token", F.when(F.col("there"), F.col("head")).otherwise(F.lit(0).cast("long")).alias("head"))).select("sentence_id", "root", "size")
+
+
+@query(f"with {PARA}, g as (select doc_id, p, {SQUEEZED.format('t')} as z from para where p = 1), b as (select doc_id, unnest(list_transform(range(1, greatest(len(z) - 2, 1) + 1), lambda i: ('0x' || substr(md5(substr(z, i, 3)), 1, 8))::bigint % 128)) as k from g), c as (select doc_id, k, count(*) as n from b group by all) select doc_id, cast(k as integer) as bucket, n / sqrt(sum(n * n) over (partition by doc_id)) as weight from c")
+def hashed_vectors(spark, sf):
+    """Non-zero places of the vectors of first paragraphs."""
+    first = corpus.paragraph_rows(docs(spark, sf)).where("paragraph_index = 1")
+    return first.select("doc_id", F.posexplode(T.hashed_trigrams(F.col("text"))).alias("bucket", "weight")).where("weight > 0")
