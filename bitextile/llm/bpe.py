@@ -28,7 +28,8 @@ from ..session import prepare
 
 #: The split pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000
+#: Entries of a generation of a cache; a cache holds two.
+CACHE = 130_000
 
 
 def _printable() -> dict[str, int]:
@@ -69,9 +70,9 @@ class Encoder:
                 self.automaton.add_word(raw.decode("latin-1"), (i, len(raw)))
                 self.born.setdefault(i, -1)
         self.automaton.make_automaton()
-        self.fits: dict[int, bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.fits, self.fits_old = {}, {}  # (left, right) -> compatible
+        self.cache, self.cache_old = {}, {}  # stretch -> ids
+        self.pieces, self.pieces_old = {}, {}  # piece -> ids
         self.split = regex.compile(SPLIT)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.text = {i: str(i) for i in self.bytes}
@@ -102,9 +103,12 @@ class Encoder:
         key = left << 32 | right
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 2 * CACHE:
-                self.fits.clear()
-            found = self.fits[key] = self._fits(left, right)
+            found = self.fits_old.get(key)
+            if found is None:
+                found = self._fits(left, right)
+            if len(self.fits) >= CACHE:
+                self.fits, self.fits_old = {}, self.fits
+            self.fits[key] = found
         return found
 
     def piece(self, piece: bytes) -> list[int]:
@@ -112,7 +116,7 @@ class Encoder:
         n = len(piece)
         last = [-1] * (n + 1)
         size = [0] * (n + 1)
-        done, fits, odd = -1, self.fits, self.odd
+        done, odd, known = -1, self.odd, self.fits.get
         for end, (token, length) in self.automaton.iter(piece.decode("latin-1")):
             if end == done:
                 continue
@@ -121,7 +125,7 @@ class Encoder:
                 before = last[start]
                 if before < 0:
                     continue
-                ok = fits.get(before << 32 | token)
+                ok = known(before << 32 | token)
                 if ok is None:
                     ok = self.compatible(before, token)
                 if not ok:
@@ -137,27 +141,31 @@ class Encoder:
         return ids
 
     def _remember(self, chunk: str) -> tuple[int, ...]:
-        out: list[int] = []
-        pieces = self.pieces
-        for p in self.split.findall(chunk):
-            ids = pieces.get(p)
-            if ids is None:
-                ids = tuple(self.piece(p.encode("utf-8", "surrogatepass")))
-                if len(p) <= 32:
-                    if len(pieces) >= CACHE:
-                        pieces.clear()
-                    pieces[p] = ids
-            out += ids
-        ids = tuple(out)
+        ids = self.cache_old.get(chunk)
+        if ids is None:
+            out: list[int] = []
+            for p in self.split.findall(chunk):
+                out += self.pieces.get(p) or self._piece(p)
+            ids = tuple(out)
         if len(chunk) <= 64:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
+                self.cache, self.cache_old = {}, self.cache
             self.cache[chunk] = ids
         return ids
 
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        ids = self.pieces_old.get(piece)
+        if ids is None:
+            ids = tuple(self.piece(piece.encode("utf-8", "surrogatepass")))
+        if len(piece) <= 32:
+            if len(self.pieces) >= CACHE:
+                self.pieces, self.pieces_old = {}, self.pieces
+            self.pieces[piece] = ids
+        return ids
+
     def _plain(self, text: str) -> list[int]:
-        get, remember = self.cache.get, self._remember
-        return list(chain.from_iterable([get(c) or remember(c) for c in _stretches(text)]))
+        remember = self._remember
+        return list(chain.from_iterable([self.cache.get(c) or remember(c) for c in _stretches(text)]))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
