@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType
 BOUNDARY = r"(?<=[.!?…])\s+(?=[\"'“”«»„A-Z0-9\-])"
 BOUNDARY_UNICODE = r"(?<=[.!?…])\s+(?=[\"'“”«»„\p{Lu}0-9\-])"
 #: Digits, letters, or one mark.
-TOKEN = r"\p{Nd}+|[\p{L}\p{Nl}\p{No}]+|[^\p{L}\p{N}_\s]"
+TOKEN = r"\p{Nd}+|[\p{L}\p{Nl}\p{No}]+|[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x85]"
 #: Tags of punctuation marks.
 PUNCTUATION = {"„": "Q", "”": "Q", '"': "Q", "'": "Q", "—": "D", "-": "D", ",": "C", ".": "P", "!": "E", "?": "QMARK", ";": "S", ":": "COL", "(": "B", ")": "B"}
 #: Frequent words, and endings in the order in which they are tried, by language.
