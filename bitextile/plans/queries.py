@@ -361,3 +361,85 @@ def hashed_vectors(spark, sf):
     """Non-zero places of the vectors of first paragraphs."""
     first = corpus.paragraph_rows(docs(spark, sf)).where("paragraph_index = 1")
     return first.select("doc_id", F.posexplode(T.hashed_trigrams(F.col("text"))).alias("bucket", "weight")).where("weight > 0")
+
+
+@query(f"with {PARA}, r as (select doc_id // 2 as pair_id, doc_id % 2 as side, t, p, row_number() over (partition by doc_id, t order by p) as k from para) select cast(a.pair_id as bigint) as pair_id, a.t as text, a.p as a_paragraph_index, b.p as b_paragraph_index from r a join r b on a.pair_id = b.pair_id and a.t = b.t and a.k = b.k and a.side = 0 and b.side = 1")
+def repeated_lines(spark, sf):
+    from ..operators import lookups
+
+    return lookups.repeated_lines(docs(spark, sf))
+
+
+@query("select distinct l_orderkey, cast(l_linenumber as bigint) as at from lineitem t where exists (select 1 from lineitem s where s.l_orderkey = t.l_orderkey and t.l_linenumber between cast(s.l_quantity as bigint) and cast(s.l_quantity as bigint) + 3)")
+def tokens_in_spans(spark, sf):
+    from ..operators import lookups
+
+    li = table(prepare(spark), sf, "lineitem")
+    tokens = li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("at")).distinct()
+    spans = li.select("l_orderkey", F.col("l_quantity").cast("long").alias("start"), (F.col("l_quantity").cast("long") + 3).alias("end"))
+    return lookups.inside(tokens, spans, ["l_orderkey"])
+
+
+@query(f"with {PARA} select doc_id, min(p) as paragraph_index from para where contains(lower(t), 'the') group by doc_id")
+def anchor_search(spark, sf):
+    from ..operators import lookups
+
+    return lookups.anchors(docs(spark, sf), "The")
+
+
+@query(f"with {SIDES}, x as (select pair_id, n, m, p as source_index, case when n <= 1 or m <= 1 then 1 else cast(round_even((p - 1) / greatest(n - 1, 1) * (m - 1), 0) as integer) + 1 end as expected from pairs join para on doc_id = a) select pair_id, source_index, expected, cast(greatest(0, least(m, expected + 3) - greatest(1, expected - 3) + 1) as integer) as window, {_POS.format('source_index', 'expected')} as position from x".replace(" as window,", ' as "window",'))
+def expected_places(spark, sf):
+    from ..operators import lookups
+
+    return lookups.expected_places(docs(spark, sf))
+
+
+@query(rf"with {PARA}, c as (select d.doc_id, cast(coalesce(sum(len(list_filter({TOKEN}, lambda w: regexp_matches(w, '\p{{L}}')))), 0) as integer) as words from documents d left join para using (doc_id) group by d.doc_id) select cast(doc_id // 20 as bigint) as book_id, cast(doc_id % 20 + 1 as integer) as chapter_index, words, cast(coalesce(sum(words) over (partition by doc_id // 20 order by doc_id rows between unbounded preceding and 1 preceding), 0) + 1 as bigint) as first_word from c")
+def word_offsets(spark, sf):
+    from ..operators import lookups
+
+    return lookups.word_offsets(docs(spark, sf))
+
+
+@query(f"with {SENT}, c as (select doc_id, count(*) as p from para group by doc_id), s as (select doc_id, count(*) as s from sent group by doc_id) select cast(d.doc_id // 20 as bigint) as book_id, count(*) as chapters, cast(sum(coalesce(c.p, 0)) as bigint) as paragraphs, cast(sum(coalesce(s.s, 0)) as bigint) as sentences from documents d left join c using (doc_id) left join s using (doc_id) group by 1")
+def book_summary(spark, sf):
+    from ..operators import lookups
+
+    return lookups.book_summary(docs(spark, sf))
+
+
+@query("with x as (select *, case when lag(role) over (partition by conv_id order by turn) = role then 0 else 1 end as n from conversations), y as (select *, sum(n) over (partition by conv_id order by turn) as r from x) select conv_id, min(turn) as first_turn, max(turn) as last_turn, min(role) as role, count(*) as turns from y group by conv_id, r")
+def merged_turns(spark, sf):
+    from ..operators import lookups
+
+    return lookups.merged_turns(table(prepare(spark), sf, "conversations"))
+
+
+@query("select user_id as family, count(*) as n, least(1.0, count(*) / 4) * 0.45 + avg(cast(event_id % 7 as double) / 7) * 0.30 + avg(cast(event_id % 5 as double) / 5) * 0.25 as trust from events group by user_id")
+def family_trust(spark, sf):
+    from ..operators import lookups
+
+    e = table(prepare(spark), sf, "events")
+    return lookups.family_trust(e.select(F.col("user_id").alias("family"), ((F.col("event_id") % 7).cast("double") / 7).alias("score"), ((F.col("event_id") % 5).cast("double") / 5).alias("similarity")))
+
+
+@query("select lang, cast(sum(n_chars) as bigint) as weight, sum((doc_id % 10) * n_chars) / sum(n_chars) as average from documents group by lang")
+def weighted_averages(spark, sf):
+    from ..operators import lookups
+
+    return lookups.weighted_average(docs(spark, sf).select("lang", (F.col("doc_id") % 10).alias("v"), "n_chars"), ["lang"], "v", "n_chars")
+
+
+@query(f"with {PARA} select doc_id, p as paragraph_index, case when contains(x, ' mit uns ') then 'mit uns' when contains(x, ' of the ') then 'of the' when contains(x, ' in der ') then 'in der' when contains(x, ' de la ') then 'de la' end as phrase from (select doc_id, p, ' ' || replace({SLUG.format('t')}, '-', ' ') || ' ' as x from para)")
+def foreign_phrases(spark, sf):
+    from ..operators import lookups
+
+    return lookups.longest_phrase(corpus.paragraph_rows(docs(spark, sf)), ["de la", "of the", "in der", "mit uns"]).select("doc_id", "paragraph_index", "phrase")
+
+
+@query()
+def link_rationales(spark, sf):
+    """Signals, label, depth and reasons of each sentence link."""
+    links = sequence.sentence_links(docs(spark, sf)).withColumn("signals", T.sentence_score(F.col("source_text"), F.col("target_text")))
+    label = T.confidence(F.round("score", 6))
+    return links.select("pair_id", "source_paragraph", "source_start", "target_start", F.round("score", 6).alias("score"), label.alias("label"), T.safe_depth(label).alias("depth"), T.rationale(F.col("signals")).alias("rationale"))
