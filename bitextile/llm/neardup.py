@@ -5,10 +5,10 @@ truncated minimum of the set's exponential hashes: mergeable by maximum, equal i
 grows with their similarity. BANDS keys of four registers each put documents into buckets; two sets of similarity 0.8
 miss each other in all of them with a probability of 2e-8. Equal sets are settled first, by their hash.
 
-No bucket is collected or paired off: each of its members is compared with one centre (in two rounds, with two choices
-of centre) and links merge components. For the documents of buckets whose components are still apart, links across
-components are found exactly, however large a bucket is, by a prefix join on their full sets: elements in one order,
-rarest first; two similar sets share an element of their prefixes, early enough in both. A document's own edits come
+No bucket is collected or paired off: each of its members is compared with its first one, and links merge components.
+For the documents of buckets whose components are still apart, links across
+components are found exactly: in buckets of SMALL members at most pair by pair, in others, however large, by a prefix
+join on their full sets: elements in one order, rarest first; two similar sets share an element of their prefixes, early enough in both. A document's own edits come
 first in its order, so one that is too far from its group meets none of it. A pair is first estimated from the
 registers by maximum likelihood (pairs below ESTIMATE, more than six standard deviations under 0.8, go), then verified
 on the full sets of the whole texts. Components are found by alternating large and small stars over Parquet tables.
@@ -33,6 +33,10 @@ from .fingerprint import slices
 
 REGISTERS, BANDS, BASE, RATE, TOP = 128, 32, 1.05, 20.0, (1 << 15) - 1
 ESTIMATE = 0.55
+#: Links that one task turns into components; more are dealt out.
+FEW = 500_000
+#: Members of a bucket that are compared pair by pair, across components; larger ones go to the prefix join.
+SMALL = 8
 _rng = np.random.Generator(np.random.PCG64(77))
 _FACTOR = _rng.integers(0, 2**63, REGISTERS, dtype=np.int64).astype(tv.U) * tv.U(2) + tv.U(1)
 
@@ -157,11 +161,12 @@ def _prefix_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     its first n - ceil(tn) + 1, and as many elements must be left in both as the overlap needs.
     """
     rows = texts.select("node", "text", "component").mapInArrow(_elements(shingle), "node long, component long, elements array<long>")
-    each = materialize(rows).select("node", "component", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+    every = materialize(rows)
+    each = every.select("node", "component", F.explode("elements").alias("element"))
     common = each.groupBy("element").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("c > 1")
     # An element of one component only takes its place in the order, and joins nothing.
-    kept = each.join(common.select("element", "c", (F.col("low") < F.col("high")).alias("joins")), "element")
-    ordered = kept.groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("c", "element", "joins"))).alias("shared"))
+    kept = each.select("node", "element").join(common.select("element", "c", (F.col("low") < F.col("high")).alias("joins")), "element")
+    ordered = kept.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "element", "joins"))).alias("shared")).join(every.select("node", "component", F.size("elements").alias("n")), "node")
     first = F.col("n") - F.size("shared")  # how many come before, in this set only
     prefix = ordered.select("node", "component", "n", first.alias("first"), F.posexplode(F.expr("slice(shared, 1, greatest(0, int(n - ceil(n * {p} / 100) + 1) - (n - size(shared))))".replace("{p}", str(percent)))).alias("k", "s"))
     prefix = prefix.where("s.joins").select(F.col("s.element").alias("element"), "node", "component", "n", (F.col("first") + F.col("k")).alias("at"), (F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).alias("short"))
@@ -182,6 +187,8 @@ def _prefix_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of links (a, b)."""
     edges = materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    few = edges.count() <= FEW  # then one task does it without shuffles
+    edges = edges.coalesce(1) if few else edges
     state = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -190,6 +197,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.distinct())
+        edges = edges.coalesce(1) if few else edges
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -209,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = materialize(keyed.join(shared, "key").select("key", "node", "first"))
     wanted = members.select("node").distinct()
     texts = materialize(rows.join(wanted, rows["doc_id"] == wanted["node"]).select("node", "text"))
-    sketches = nodes.join(wanted, "node").select("node", "registers", "n")
+    sketches = materialize(nodes.join(wanted, "node").select("node", "registers", "n"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         sides = []
@@ -221,17 +229,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     links = verified(members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")))
     found = materialize(components(links))
-    for last in (False, True):
-        placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "component")).alias("centre")).where("low < high")
-        open_ = placed.join(apart.select("key", "centre"), "key")
-        if last:
-            nodes_ = materialize(open_.select("node", "component").distinct())
-            pairs = _prefix_pairs(texts.join(nodes_, "node"), shingle, percent)
-        else:
-            pairs = open_.where("component != centre.component").select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
-        links = links.unionAll(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-        found = materialize(components(links))
+    placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
+    live = materialize(placed.join(apart, "key"))
+    few = live.where(F.col("size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("m"))  # SMALL at most
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["component"] != x["component"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    links = links.unionAll(verified(few.select(F.explode(pairs).alias("p")).select("p.a", "p.b")))
+    open_ = materialize(live.where(F.col("size") > SMALL).select("node", "component").distinct())
+    links = links.unionAll(verified(_prefix_pairs(texts.join(open_, "node"), shingle, percent)))
+    found = materialize(components(links))
     by_set = nodes.select("set_sha", "node").join(found, "node", "left").select("set_sha", F.coalesce("component", "node").alias("component"))
     return base.drop("registers").join(by_set, "set_sha", "left").select(
         "doc_id", "n_shingles", "set_sha", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
