@@ -443,3 +443,12 @@ def link_rationales(spark, sf):
     links = sequence.sentence_links(docs(spark, sf)).withColumn("signals", T.sentence_score(F.col("source_text"), F.col("target_text")))
     label = T.confidence(F.round("score", 6))
     return links.select("pair_id", "source_paragraph", "source_start", "target_start", F.round("score", 6).alias("score"), label.alias("label"), T.safe_depth(label).alias("depth"), T.rationale(F.col("signals")).alias("rationale"))
+
+
+@query()
+def progression_steps(spark, sf):
+    from ..operators import progression
+
+    d = docs(spark, sf)
+    texts = sequence.sentence_links(d).where(F.col("score") >= 0.45).select("pair_id", "source_paragraph", "source_start", "source_text", "target_text")
+    return progression.progressions(sequence.token_alignment(d), texts)
