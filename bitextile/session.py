@@ -20,6 +20,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = sc.environment.get("PYTHONPATH", "")
     if ROOT not in paths.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, paths) if p)
+        # Workers are reused: let them give batches' memory back to the system.
+        sc.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+        sc.environment.setdefault("MALLOC_ARENA_MAX", "2")
+        sc.environment.setdefault("MALLOC_TRIM_THRESHOLD_", "1048576")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/bitextile-checkpoints")
     return spark
