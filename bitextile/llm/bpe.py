@@ -29,7 +29,7 @@ from ..session import prepare
 #: The split pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a generation of a cache; a cache holds two.
-CACHE = 130_000
+CACHE = 80_000
 
 
 def _printable() -> dict[str, int]:
