@@ -122,3 +122,53 @@ def test_page_blocks():
     p = htmltext.Page("<body><p>a <b>b&amp;c</b>\n d<p>e<br>f<ul><li>g<li>h</ul><script>x<p></script>")
     assert [t for _, t, _ in p.blocks] == ["a b&c d", "e f", "g", "h"]
     assert pa.array(["x"]).null_count == 0
+
+
+def test_brown_clusters_by_count_and_classes_rare_words_by_neighbours(spark, monkeypatch):
+    r = random.Random(5)
+    sides = [[x + y for x in "abcd" for y in "efgh"], [x + y for x in "mnop" for y in "rstu"]]
+    data = [(k, " ".join(r.choice(sides[k % 2]) for _ in range(40))) for k in range(400)]
+    # "abxyz" and "mnxyz" have one ending, but the neighbours of either side.
+    data += [(1000 + k, " ".join([*r.sample(sides[k % 2], 6), ("ab", "mn")[k % 2] + "xyz", *r.sample(sides[k % 2], 6)])) for k in range(20)]
+    seen, real = {}, brown._read
+
+    def spy(model, split):
+        m = model.value
+        seen.update({w: (int(m["class"][i]), i < m["known"].n_items) for w, i in m["known"].index.items()})
+        return real(model, split)
+
+    monkeypatch.setattr(brown, "_read", spy)
+    brown.train_and_score(spark.createDataFrame(data, "doc_id long, text string"), least=100)
+    assert all(seen[w.encode()][1] for s in sides for w in s) and not seen[b"abxyz"][1] and not seen[b"mnxyz"][1]
+    of = [{seen[w.encode()][0] for w in s} for s in sides]
+    assert not of[0] & of[1] and seen[b"abxyz"][0] in of[0] and seen[b"mnxyz"][0] in of[1]
+
+
+def test_exchange_goes_on_until_no_item_moves():
+    r = np.random.Generator(np.random.PCG64(7))
+    pairs = (r.random((300, 300)) < 0.05) * r.integers(1, 5, (300, 300)).astype(float)
+    i, j = np.nonzero(pairs)
+    label = brown.exchange((300, i, j, pairs[i, j]), 299, 12)
+    assert (label == brown.exchange(pairs, 299, 12)).all()
+    assert not (label == brown.exchange(pairs, 299, 12, 8)).all()  # eight rounds are too few here
+
+    def likelihood(at):
+        one = np.eye(13)[at]
+        b = one.T @ pairs @ one
+        x = lambda y: (y * np.log(np.maximum(y, 1))).sum()
+        return x(b) - x(b.sum(0)) - x(b.sum(1))
+
+    best = likelihood(label)
+    for k in range(0, 299, 7):
+        for c in range(1, 13):
+            other = label.copy()
+            other[k] = c
+            assert likelihood(other) <= best + 1e-6
+
+
+def test_brown_is_the_same_by_join(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    key = lambda x: (x.doc_id if x.doc_id is not None else -1, x.held_out, x.n_tokens, x.n_known, round(x.base_score, 6), round(x.score, 6))
+    want = sorted(map(key, brown.train_and_score(docs).collect()))
+    monkeypatch.setattr(brown, "COMMON", 1)
+    assert sorted(map(key, brown.train_and_score(docs).collect())) == want
