@@ -358,9 +358,9 @@ def tree_closure(spark, sf):
 
 @query(f"with {PARA}, g as (select doc_id, p, {SQUEEZED.format('t')} as z from para where p = 1), b as (select doc_id, unnest(list_transform(range(1, greatest(len(z) - 2, 1) + 1), lambda i: ('0x' || substr(md5(substr(z, i, 3)), 1, 8))::bigint % 128)) as k from g), c as (select doc_id, k, count(*) as n from b group by all) select doc_id, cast(k as integer) as bucket, n / sqrt(sum(n * n) over (partition by doc_id)) as weight from c")
 def hashed_vectors(spark, sf):
-    """Non-zero places of the vectors of first paragraphs."""
-    first = corpus.paragraph_rows(docs(spark, sf)).where("paragraph_index = 1")
-    return first.select("doc_id", F.posexplode(T.hashed_trigrams(F.col("text"))).alias("bucket", "weight")).where("weight > 0")
+    """Non-zero places of the vectors of all paragraphs. The SQL has those of first paragraphs only."""
+    rows = corpus.paragraph_rows(docs(spark, sf))
+    return rows.select("doc_id", "paragraph_index", F.posexplode(T.hashed_trigrams(F.col("text"))).alias("bucket", "weight")).where("weight > 0")
 
 
 @query(f"with {PARA}, r as (select doc_id // 2 as pair_id, doc_id % 2 as side, t, p, row_number() over (partition by doc_id, t order by p) as k from para) select cast(a.pair_id as bigint) as pair_id, a.t as text, a.p as a_paragraph_index, b.p as b_paragraph_index from r a join r b on a.pair_id = b.pair_id and a.t = b.t and a.k = b.k and a.side = 0 and b.side = 1")

@@ -128,3 +128,22 @@ def test_entry_has_all_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "benchmark_report" in e.queries()
+
+
+def test_hashed_vectors_of_all_paragraphs(spark, tmp_path):
+    import hashlib
+    import math
+    from collections import Counter
+
+    from bitextile.plans import queries
+
+    texts = {1: "Abcd\n\nabab\nxyz", 2: "", 3: "\nlast one"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for d, t in texts.items():
+        for p, x in enumerate([x for x in t.split("\n") if x], 1):
+            z = x.lower().replace(" ", "")
+            n = Counter(int(hashlib.md5(z[i : i + 3].encode()).hexdigest()[:8], 16) % 128 for i in range(len(z) - 2))
+            want |= {(d, p, k, round(c / math.sqrt(sum(v * v for v in n.values())), 9)) for k, c in n.items()}
+    rows = queries.hashed_vectors(spark, str(tmp_path)).collect()
+    assert sorted((x.doc_id, x.paragraph_index, x.bucket, round(x.weight, 9)) for x in rows) == sorted(want)
