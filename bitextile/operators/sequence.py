@@ -278,7 +278,11 @@ def _vectors(texts: list[str], buckets: int = 128) -> np.ndarray:
 
 def token_alignment(docs: DataFrame) -> DataFrame:
     """Word links of all safe sentence links (medium confidence or better)."""
-    links = sentence_links(docs).where(F.col("score") >= 0.45)
+    return word_links(sentence_links(docs).where(F.col("score") >= 0.45))
+
+
+def word_links(links: DataFrame) -> DataFrame:
+    """Word links of sentence links."""
 
     @F.pandas_udf("array<struct<source_token:int,target_token:int,relation:string,token_score:double>>")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:

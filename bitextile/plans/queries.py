@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus, matching, reports, sequence, timeline
-from ..session import prepare, table
+from ..session import materialize, prepare, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -151,7 +151,8 @@ def review_bundle(spark, sf):
 
 @query()
 def quality_report(spark, sf):
-    return reports.quality(sequence.sentence_links(docs(spark, sf)))
+    links = materialize(sequence.sentence_links(docs(spark, sf)))
+    return reports.quality(links, materialize(sequence.word_links(links.where(F.round("score", 6) >= 0.45))))
 
 
 @query()

@@ -147,3 +147,18 @@ def test_hashed_vectors_of_all_paragraphs(spark, tmp_path):
             want |= {(d, p, k, round(c / math.sqrt(sum(v * v for v in n.values())), 9)) for k, c in n.items()}
     rows = queries.hashed_vectors(spark, str(tmp_path)).collect()
     assert sorted((x.doc_id, x.paragraph_index, x.bucket, round(x.weight, 9)) for x in rows) == sorted(want)
+
+
+def test_quality_judges_all_gates(spark):
+    from bitextile.operators import reports
+
+    links = [(1, 1, 1, 0.9, "a b c d 5 .", "a b x y"), (1, 1, 2, 0.5, "e f", "e f g h"), (1, 2, 1, 0.1, "q r s", "t"), (2, 1, 1, 0.2, "a", "b")]
+    tokens = [(1, 1, 1, 1, 1, 1.0), (1, 1, 1, 2, 2, 1.0), (1, 1, 2, 1, 1, 1.0)]
+    a = spark.createDataFrame(links, "pair_id long, source_paragraph int, source_start int, score double, source_text string, target_text string")
+    b = spark.createDataFrame(tokens, "pair_id long, source_paragraph int, source_start int, source_token int, target_token int, token_score double")
+    (x,) = reports.quality(a, b).collect()
+    want = {"pairs": 2, "safe_ratio": 1 / 3, "blocked_ratio": 2 / 3, "source_token_match": 3 / 6 / 2, "target_token_match": 3 / 8 / 2, "phrase_row_rate": 1 / 2 / 2}
+    assert {k: x[k] for k in want} == pytest.approx(want)
+    assert (x.safe_pass, x.blocked_pass, x.source_token_match_pass, x.target_token_match_pass, x.phrase_row_pass) == (False, False, True, True, True)
+    (y,) = reports.quality(a, b.limit(0)).collect()
+    assert not (y.source_token_match_pass or y.target_token_match_pass or y.phrase_row_pass)
