@@ -1,12 +1,14 @@
 """License scans by an exact set-similarity join, with DataFrame functions only.
 
-Templates are short license statements as sets of words. A text block (a line) meets a template if it contains at
-least CONTAINMENT of the template's words. One scan of the whole table tokenises each text once, finds the base
+Templates are short license statements as sets of words. A text block meets a template if it contains at least
+CONTAINMENT of the template's words. Blocks are the lines and, for statements wrapped over lines, all runs of words of
+the text, over line ends, that are no longer than the statement's words over CONTAINMENT. One scan of the whole table tokenises each text once, finds the base
 phrases, and keeps which template words a text has; a text that as a whole lacks a template's least number of words
 can't have a block with them, and goes no further. The template words' document frequencies over the whole table give
 the global order, rarest first. Blocks meet templates in a join on the prefixes (a block that meets a template must
 have one of its rarest words); the length filter (enough template words at all) and the positional filter (enough words
-left from the first common one on, in both) come before the overlap is counted. The templates are a fixed list, so the
+left from the first common one on, in both) come before the overlap is counted. Runs are counted over a text's
+places of a template's words, where these are enough and one is of the prefix. The templates are a fixed list, so the
 broadcast side is of fixed size.
 
 Defined results: null and empty texts have no words, no places, empty labels and score 0. The score is 1 with a base
@@ -59,6 +61,11 @@ def _least(size: int) -> int:
     return -(-size * int(CONTAINMENT * 100) // 100)
 
 
+def _longest(statement: str) -> int:
+    """The most words of a run that may meet a statement."""
+    return -(-len(statement.split()) * 100 // int(CONTAINMENT * 100))
+
+
 def _starts(w: Column, phrase: str) -> Column:
     parts = phrase.split()
     at = F.sequence(F.lit(0), F.size(w) - len(parts))
@@ -107,7 +114,8 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     met = ranked.join(F.broadcast(table), "w")
     met = met.where((F.size("ranked_block") >= F.col("least")) & (F.least(F.col("size") - F.col("i"), F.size("ranked_block") - F.col("j")) >= F.col("least")))
     met = met.withColumn("common", F.size(F.array_intersect("ranked_block", "ranked"))).where("common >= least")
-    found = met.groupBy("_key").agg(F.collect_set("label").alias("_own"), F.max(F.col("common") / F.col("size")).alias("_best"))
+    met = met.select("_key", "label", (F.col("common") / F.col("size")).alias("part")).unionAll(_runs(texts, sets, prefixes))
+    found = met.groupBy("_key").agg(F.collect_set("label").alias("_own"), F.max("part").alias("_best"))
 
     places_ = F.col("_places")
     rest = base.where("_key is null").select("*", F.lit(None).cast("array<string>").alias("_own"), F.lit(None).cast("double").alias("_best"))  # most texts: no join
@@ -120,6 +128,19 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
+def _runs(texts: DataFrame, sets: list, prefixes: list) -> DataFrame:
+    """_key, label and part of the templates that runs of words (over line ends) of texts (_key, _t) meet."""
+    first = {(p[0], p[1]) for p in prefixes}
+    of = [(w, k, label, len(t), _least(len(t)), _longest(TEMPLATES[k][1]), (w, k) in first) for k, (label, t) in enumerate(sets) for w in t]
+    table = texts.sparkSession.createDataFrame(of, "w string, template int, label string, size int, least int, longest int, prefix boolean")
+    places = texts.select("_key", F.posexplode(words(F.col("_t"))).alias("at", "w")).join(F.broadcast(table), "w")
+    found = places.groupBy("_key", "template", "label", "size", "least", "longest").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("p"), F.max("prefix").alias("prefix"))
+    found = found.where("prefix and size(p) >= least")
+    run = lambda x, i: F.size(F.array_distinct(F.transform(F.filter(F.slice("p", i + 1, F.col("longest")), lambda y: y["at"] < x["at"] + F.col("longest")), lambda y: y["w"])))
+    found = found.withColumn("common", F.array_max(F.transform("p", run))).where("common >= least")
+    return found.select("_key", "label", (F.col("common") / F.col("size")).alias("part"))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     return scan(docs, ["doc_id"]).select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 

@@ -151,3 +151,17 @@ def test_pipeline(spark, tmp_path):
     assert results[2][31] == docs[31][1] and results[2][32].split() == head.split()
     assert "t5x12" not in results[3][5] and results[3][6] == docs[6][1]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(docs) - 1
+
+
+def test_licenses_wrapped_over_lines(spark):
+    import textwrap
+
+    rows = []
+    for k, (label, t) in enumerate(licenses.TEMPLATES):
+        rows += [(2 * k, "\n".join(f" * {x}" for x in textwrap.wrap(f"Some words before. {t}", 24)), label), (2 * k + 1, "\n\n".join(f"{w} {'and so on ' * 12}" for w in t.split()), "")]
+    got = {x.doc_id: x for x in licenses.digests(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
+    for d, _, want in rows:
+        if want:
+            assert want in got[d].labels.split(",") and got[d].score == 1.0
+        else:
+            assert got[d].labels == "" and got[d].score == 0.0  # its words stand too far apart
