@@ -318,7 +318,7 @@ def policy_gates(spark, sf):
 def family_schedule(spark, sf):
     from ..operators import planning
 
-    return planning.schedules(timeline.timeline(_occurrences(spark, sf)), 8)
+    return planning.schedules(timeline.timeline(_occurrences(spark, sf)))
 
 
 @query()
