@@ -8,8 +8,8 @@ by adding or subtracting its vector. The uniform lanes decide equality; the coun
 of two sums.
 
 Defined results: a null or empty text has the zero vector; two equal fingerprints have likeness 1, one zero vector and
-another vector 0. Rows may repeat; tied ids are ordered by text. Null ids come after all others. Extra columns are
-ignored. A count that leaves 16 bits (a pair that occurs over 32,767 times) wraps, so that sums stay homomorphic.
+another vector 0. Rows may repeat; tied ids are ordered by a hash of their text. Null ids come after all others. An empty
+table gives no rows, a table of one row has that row as its own next one. Extra columns are ignored. A count that leaves 16 bits (a pair that occurs over 32,767 times) wraps, so that sums stay homomorphic.
 """
 
 from __future__ import annotations
@@ -153,25 +153,70 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def edited_neighbours(docs: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:
+_LAST = np.iinfo(np.int64).max
+
+
+def _position(key: np.ndarray, tie: np.ndarray, keys: np.ndarray, ties: np.ndarray, side: str) -> np.ndarray:
+    """Like searchsorted, in pairs (keys, ties) in order. Only pairs with equal keys are looked at one by one."""
+    lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+    for k in np.flatnonzero(hi > lo):
+        lo[k] += np.searchsorted(ties[lo[k] : hi[k]], tie[k], side)
+    return lo
+
+
+def edited_neighbours(docs: DataFrame, range_bytes: int = 64 << 20, samples: int = 500_000) -> DataFrame:
     """Fingerprints of each text and of its edit with the beginning of the next text, by descending doc_id.
 
-    Texts are dealt to ranges of doc_id of about range_bytes each and sorted there; the first row of each range also
-    goes to the range before it, so no order over the whole table is needed and each text is shuffled once.
+    Texts are dealt to ranges of (doc_id, hash of text) and sorted there, so each text is shuffled once and nothing is
+    ordered over the whole table. Ranges have about range_bytes of text: their bounds come from a sample of about
+    `samples` keys at most, drawn in proportion to bytes, and workers look a row's range up by binary search. The first
+    row of each range also goes to the range before it. The driver holds the sample and two keys a range.
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // range_bytes + 1)
-    splits = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    number = F.coalesce(F.expr(f"aggregate(array({','.join(f'{int(s)}L' for s in splits)}), 0, (n, s) -> n + int(doc_id >= s))"), F.lit(0)) if splits else F.lit(0)
-    rows = rows.withColumn("range", number)
-    heads = sorted((r["range"], r["head"]) for r in rows.groupBy("range").agg(F.max("doc_id").alias("head")).collect())  # one row a range
-    if not heads:
+    rows = rows.select("doc_id", "text", F.coalesce(F.bitwise_not("doc_id"), F.lit(_LAST)).alias("key"), F.xxhash64("text").alias("tie"))
+    sized = rows.select("key", "tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("double").alias("size"))
+    total = sized.agg(F.sum("size")).first()[0]
+    if not total:
         return spark.createDataFrame([], PAIR)
-    before = {heads[k][0]: heads[(k + 1) % len(heads)][0] for k in range(len(heads))}
-    bridges = spark.createDataFrame([(r, h, before[r]) for r, h in heads], "range int, head long, onto int")
-    own = rows.select("range", F.lit(False).alias("bridge"), "doc_id", "text")
-    extra = rows.join(F.broadcast(bridges), (rows["range"] == bridges["range"]) & rows["doc_id"].eqNullSafe(bridges["head"])).select(F.col("onto").alias("range"), F.lit(True).alias("bridge"), "doc_id", "text")
-    dealt = own.unionAll(extra).repartition(parts, "range").sortWithinPartitions("range", "bridge", F.col("doc_id").desc_nulls_last(), "text")
+    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // range_bytes + 1))
+    step = max(total / samples, total / (100 * parts))
+    chance = F.pmod(F.xxhash64("key", "tie", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = sized.where(chance * step < F.col("size")).groupBy("key", "tie").agg(F.max("size").alias("size")).toArrow()
+    key, tie = (drawn.column(c).to_numpy() for c in ("key", "tie"))
+    order = np.lexsort((tie, key))
+    key, tie = key[order], tie[order]
+    passed = np.cumsum(np.maximum(drawn.column("size").to_numpy()[order], step))
+    # The first key after each share; a range begins with its bound.
+    cut = np.unique(np.searchsorted(passed, passed[-1] * np.arange(1, parts) / parts, "right")) if len(passed) else np.zeros(0, np.int64)
+    cut = cut[cut < len(key)]
+    bounds = spark.sparkContext.broadcast((key[cut], tie[cut]))
+
+    @F.pandas_udf("int")
+    def range_of(k, t):
+        import pandas as pd
+
+        return pd.Series(_position(k.to_numpy(), t.to_numpy(), *bounds.value, "right").astype(np.int32))
+
+    heads = sized.select(range_of("key", "tie").alias("range"), "key", "tie").groupBy("range").agg(F.min(F.struct("key", "tie")).alias("head")).select("range", "head.key", "head.tie").toArrow()  # one row a range
+    ranges = heads.column("range").to_numpy()
+    order = np.argsort(ranges)
+    first = spark.sparkContext.broadcast((ranges[order], heads.column("key").to_numpy()[order], heads.column("tie").to_numpy()[order]))
+
+    @F.pandas_udf("long")
+    def dealt_to(k, t):
+        """A row's range and, for a range's first row, the range before + 1 in the upper half."""
+        import pandas as pd
+
+        numbers, keys, ties = first.value
+        k, t = k.to_numpy(), t.to_numpy()
+        at = np.maximum(_position(k, t, keys, ties, "right") - 1, 0)
+        head = (keys[at] == k) & (ties[at] == t)
+        return pd.Series(numbers[at] + np.where(head, numbers[at - 1].astype(np.int64) + 1, 0) * (1 << 32))
+
+    coded = rows.withColumn("code", dealt_to("key", "tie"))
+    own, onto = F.col("code").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("code", 32) - 1
+    places = F.when(onto >= 0, F.array(F.struct(own.alias("range"), F.lit(False).alias("bridge")), F.struct(onto.alias("range"), F.lit(True).alias("bridge")))).otherwise(F.array(F.struct(own.alias("range"), F.lit(False).alias("bridge"))))
+    each = coded.select("doc_id", "text", "key", "tie", F.explode(places).alias("p")).select(F.col("p.range").cast("int").alias("range"), "p.bridge", "doc_id", "text", "key", "tie")
+    dealt = each.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "bridge", "key", "tie").select("range", "bridge", "doc_id", "text")
     return dealt.mapInArrow(_neighbours, PAIR)
