@@ -1,15 +1,17 @@
 """Token-id output: best-fit-decreasing packing of texts into rows of a fixed length.
 
-A worker encodes its texts (special strings in a text are ordinary text) and packs them block by block (BLOCK tokens, or one longer text): texts longer than a row
-are cut into whole rows and a rest, nothing is lost; the pieces, longest first, each go to the fullest row that still
-has room, found by a search down a segment tree over the remaining capacities. A packed row has its ids (16-bit, or
-32-bit where the vocabulary needs it, little-endian, padded to the row length), the texts and offsets that its segments come
-from, the cumulative segment lengths from 0, and positions that restart at 0 with each segment. Packing needs no
-shuffle, and memory for one block; each block leaves one row at most that is less than half full, besides rows that no
-pair fits. The rows of one input split are the same when they are made again.
+A worker encodes its texts, as llm.bpe does (special strings become their ids), and packs them block by block (BLOCK
+tokens, or one longer text): texts longer than a row are cut into whole rows and a rest, nothing is lost; the pieces,
+longest first, each go to the fullest row that still has room, found by a search down a segment tree over the remaining
+capacities. A packed row has its ids (16-bit, or 32-bit where the vocabulary needs it, little-endian, padded to the row
+length), the texts and offsets that its segments come from, the cumulative segment lengths from 0, and positions that
+restart at 0 with each segment (16-bit, or 32-bit where the row length needs it, little-endian, padded with 0).
+Packing needs no shuffle, and memory for one block; each block leaves one row at most that is less than half full,
+besides rows that no pair fits. The rows of one input split are the same when they are made again.
 
 Defined results: null and empty texts have no tokens and so no segment; every other token of every row is in exactly
-one segment. Repeated texts are packed each. Extra columns are ignored.
+one segment. Repeated texts are packed each; a null doc_id stays null. An empty table has no rows. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,37 +24,11 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from . import bpe
+from .fingerprint import slices
 
 LENGTH, BLOCK = 2048, 1 << 20
 
 
-def ranks() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
-_encoders: dict = {}
-
-
-def encoder(path: str):
-    """encode(text) and the number of ids, of a rank file or a tokenizers JSON file; one for each worker process."""
-    if path not in _encoders:
-        if path.endswith(".tiktoken"):
-            import base64
-
-            import tiktoken
-
-            with open(path, "rb") as f:
-                own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            e = tiktoken.Encoding("own", pat_str=bpe.SPLIT, mergeable_ranks=own, special_tokens={})
-            _encoders[path] = (e.encode_ordinary, max(own.values()) + 1)
-        else:
-            own = bpe.encoder(path)
-            _encoders[path] = (own.encode, max(own.bytes) + 1)
-    return _encoders[path]
-
-
 class BestFit:
     """Rows by what room they have left; the least room that is enough is found in a segment tree over capacities."""
 
@@ -109,49 +85,50 @@ def pack(lengths: list[int], length: int) -> list[list[tuple[int, int, int]]]:
     return rows
 
 
-SCHEMA = "pack_id long, n_tokens int, n_segments int, doc_ids array<long>, doc_offsets array<int>, cu_seqlens array<int>, ids binary"
+SCHEMA = "pack_id long, n_tokens int, n_segments int, doc_ids array<long>, doc_offsets array<int>, cu_seqlens array<int>, ids binary, positions binary"
+_KINDS = {"pack_id": pa.int64(), "n_tokens": pa.int32(), "n_segments": pa.int32(), "doc_ids": pa.list_(pa.int64()), "doc_offsets": pa.list_(pa.int32()), "cu_seqlens": pa.list_(pa.int32()), "ids": pa.binary(), "positions": pa.binary()}
 
 
 def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, pad: int = 0) -> DataFrame:
-    """Packed rows of all documents. Positions follow from cu_seqlens (see positions())."""
+    """Packed rows of all documents."""
     prepare(docs.sparkSession)
-    path = path or ranks()
+    path = path or bpe.vocabulary()
 
     def run(batches):
-        encode, size = encoder(path)
-        kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        e = bpe.encoder(path)
+        kind, places = (np.dtype("<u2" if size <= 1 << 16 else "<u4") for size in (max(e.bytes) + 1, length))
         serial = TaskContext.get().partitionId() << 33
         texts: list[np.ndarray] = []
         owners: list[int | None] = []
 
         def block():
             nonlocal serial
-            rows = pack([len(t) for t in texts], length)
             out: list[tuple] = []
-            for segments in rows:
-                matrix = np.full(length, pad, kind)
+            for segments in pack([len(t) for t in texts], length):
+                matrix, at = np.full(length, pad, kind), np.zeros(length, places)
                 ends = [0]
                 for t, a, n in segments:
                     matrix[ends[-1] : ends[-1] + n] = texts[t][a : a + n]
+                    at[ends[-1] : ends[-1] + n] = np.arange(n)
                     ends.append(ends[-1] + n)
-                out.append((serial, ends[-1], len(segments), [owners[t] for t, _, _ in segments], [a for _, a, _ in segments], ends, matrix.tobytes()))
+                out.append((serial, ends[-1], len(segments), [owners[t] for t, _, _ in segments], [a for _, a, _ in segments], ends, matrix.tobytes(), at.tobytes()))
                 serial += 1
             texts.clear()
             owners.clear()
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
-            names = ("pack_id", "n_tokens", "n_segments", "doc_ids", "doc_offsets", "cu_seqlens", "ids")
             for k in range(0, len(out), 1000):
-                yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out[k : k + 1000]], t) for i, (c, t) in enumerate(zip(names, kinds))})
+                yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out[k : k + 1000]], t) for i, (c, t) in enumerate(_KINDS.items())})
 
         total = 0
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                text = t.as_py()
-                ids = encode(text) if text else ()
-                if ids:
-                    texts.append(np.array(ids, kind))
+            for lo, hi in slices(b.column(1)):
+                ids, at = e.encode_column(b.column(1).slice(lo, hi - lo))
+                ids = ids.astype(kind)
+                for d, a, z in zip(b.column(0).slice(lo, hi - lo).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    if a == z:
+                        continue
+                    texts.append(ids[a:z])
                     owners.append(d)
-                    total += len(ids)
+                    total += z - a
                     if total >= BLOCK:
                         yield from block()
                         total = 0
@@ -161,13 +138,13 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, pad:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def positions(cu_seqlens: list[int]) -> np.ndarray:
-    """Position of each token of a row in its segment."""
-    return np.concatenate([np.arange(b - a) for a, b in zip(cu_seqlens, cu_seqlens[1:])]) if len(cu_seqlens) > 1 else np.zeros(0, int)
+def unpacked(rows: DataFrame) -> DataFrame:
+    """doc_id, doc_offset, n_tokens of every segment of packed rows."""
+    n = F.transform(F.sequence(F.lit(1), F.size("doc_ids")), lambda k: F.element_at("cu_seqlens", k + 1) - F.element_at("cu_seqlens", k))
+    each = rows.select(F.explode(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("doc_offsets").alias("doc_offset"), n.alias("n_tokens"))).alias("s"))
+    return each.select("s.*")
 
 
 def write_packed(docs: DataFrame, target: str, length: int = LENGTH, path: str | None = None) -> None:
     """The packed id matrices with cumulative segment lengths and position resets, as a Parquet table."""
-    rows = packed(docs, length, path)
-    resets = F.flatten(F.transform(F.sequence(F.lit(1), F.size("cu_seqlens") - 1), lambda k: F.sequence(F.lit(0), F.element_at("cu_seqlens", k + 1) - F.element_at("cu_seqlens", k) - 1)))
-    rows.withColumn("positions", resets).write.parquet(target)
+    packed(docs, length, path).write.parquet(target)

@@ -42,7 +42,7 @@ def test_bpe(spark, tokenizer):
     assert all((x.text or "") == x.decoded for x in again)
 
 
-def test_packing(spark, tokenizer):
+def test_packing(spark, tokenizer, tmp_path):
     r = random.Random(3)
     lengths = [r.randrange(0, 700) for _ in range(400)]
     rows = packing.pack(lengths, 256)
@@ -62,9 +62,15 @@ def test_packing(spark, tokenizer):
         m = np.frombuffer(x.ids, "<u2")
         for k, (d, o) in enumerate(zip(x.doc_ids, x.doc_offsets)):
             got.setdefault(d, []).append((o, m[x.cu_seqlens[k] : x.cu_seqlens[k + 1]].tolist()))
+        assert np.frombuffer(x.positions, "<u2").tolist() == [p for a, z in zip(x.cu_seqlens, x.cu_seqlens[1:]) for p in range(z - a)] + [0] * (128 - x.cu_seqlens[-1])
     want = tokenizer.encode("word " * 5000, add_special_tokens=False).ids
     assert sum((p for _, p in sorted(got[9])), []) == want and 1 not in got and 2 not in got
-    assert packing.positions([0, 3, 5]).tolist() == [0, 1, 2, 0, 1]
+    assert got[5] == [(0, tokenizer.encode(ODD[5][1], add_special_tokens=False).ids)]
+    packing.write_packed(docs, str(tmp_path / "packed"), 128)
+    again = spark.read.parquet(str(tmp_path / "packed"))
+    assert again.count() == packing.packed(docs, 128).count()
+    assert sorted((str(x.doc_id), x.n_tokens) for x in packing.unpacked(again).groupBy("doc_id").agg({"n_tokens": "sum"}).toDF("doc_id", "n_tokens").collect()) == sorted((str(d), sum(len(p) for _, p in v)) for d, v in got.items())
+    assert packing.packed(docs.limit(0)).count() == 0
 
 
 def test_decontamination(spark):

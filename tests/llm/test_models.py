@@ -74,6 +74,15 @@ def test_exchange_reaches_an_optimum():
     assert best >= likelihood(np.where(np.arange(40) == 39, 0, block + 1)) - 1e-6
 
 
+def test_segments_take_linear_time():
+    import time
+
+    for s in (np.where(np.arange(1_000_000) % 2, -1.0, 1.0), np.where(np.arange(1_000_000) % 2, -1.0, 1.0 - 1e-7 * np.arange(1_000_000)), np.where(np.arange(1_000_000) % 2, -1.01, 1.0)):
+        t = time.process_time()
+        found = toxicity.segments(s)
+        assert found and time.process_time() - t < 20
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_segments(seed):
     r = np.random.Generator(np.random.PCG64(seed))
