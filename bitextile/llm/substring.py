@@ -16,7 +16,8 @@ corpus sent to all of it would cost the square of the corpus. Here a shard's aut
 anchor with it, and no others.
 
 Defined results: null and empty texts have no words; rows without doc_id neither lose words nor count as references;
-rows of the same doc_id don't count for each other. Extra columns are ignored, or kept by deduplicated().
+rows of the same doc_id don't count for each other, and repeated rows each lose the same words. An empty table gives no
+rows. Extra columns are ignored, or kept as they are by deduplicated().
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, prepare
 from . import textvec as tv
+from .columns import fresh, join_counted
 from .fingerprint import slices
 
 WINDOW, GRAM = 50, 20
@@ -244,8 +246,9 @@ class Repeats:
             "doc_id", "words_sha", "n_words", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).alias("copy")
         )
         runs = firsts.select(F.col("first_id").alias("doc_id"), "words_sha", F.explode("runs").alias("run")).select("doc_id", "words_sha", F.col("run.anchors").alias("anchor"), F.col("run.spots").alias("spot"))
-        shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").drop("most")
-        matched = materialize(runs.join(shared, "anchor").select("doc_id", "words_sha", "owner", "spot"))
+        shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("owner < most").drop("most")
+        shared, n_runs = materialize(shared), firsts.agg(F.sum(F.size("runs"))).first()[0] or 0
+        matched = materialize(join_counted(runs, shared, "anchor", "n", n_runs).select("doc_id", "words_sha", "owner", "spot"))
         # Each anchor brings about (WINDOW - GRAM + 1) / 2 new words, and WINDOW at the edges.
         hot = matched.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * ((WINDOW - GRAM) // 2) > SHARD).select("owner", F.lit(True).alias("hot"))
         listed = matched.join(hot, "owner", "left").groupBy("doc_id", "words_sha").agg(F.collect_list(F.struct("owner", "spot", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("matched"))
@@ -259,8 +262,9 @@ class Repeats:
         windows = regions.where("hashes is not null").select("doc_id", "words_sha", "start", F.posexplode("hashes").alias("k", "window"))
         windows = windows.select("doc_id", "words_sha", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k") + WINDOW).alias("end"), "window")
         windows = windows.unionAll(found.where("window is not null"))
-        least = windows.groupBy("window").agg(F.min("doc_id").alias("least"))
-        common = windows.join(least, "window").where("least < doc_id").select("doc_id", "words_sha", "start", "end")
+        windows = materialize(windows)
+        least = materialize(windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most"))
+        common = join_counted(windows, least, "window", "n", windows.count()).where("least < doc_id").select("doc_id", "words_sha", "start", "end")
         found = found.where("window is null").drop("window")
         self.spans = found.unionAll(common).groupBy("doc_id", "words_sha").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -308,15 +312,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with the repeated words, and what stands between them, cut out of text; other text stays as it is."""
     r = Repeats(docs)
     copies = r.base.where("copy").select("doc_id", "words_sha", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans"))
-    cuts = r.spans.unionAll(copies).dropDuplicates(["doc_id", "words_sha"]).groupBy("doc_id").agg(F.collect_list(F.struct("words_sha", "spans")).alias("_cuts"))
     columns = docs.columns
-    rows = docs.withColumn("text", F.col("text").cast("string")).join(cuts.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").select(*columns, "_cuts")
+    own, found = fresh("own_id", columns), fresh("cuts", columns)
+    cuts = r.spans.unionAll(copies).dropDuplicates(["doc_id", "words_sha"]).groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("words_sha", "spans")).alias(found))
+    rows = docs.withColumn("text", F.col("text").cast("string")).withColumn(own, F.col("doc_id").cast("long")).join(cuts, own, "left").select(*columns, found)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
 
     def run(batches):
         for b in batches:
             names = b.schema.names
-            texts, cuts = b.column(names.index("text")).to_pylist(), b.column(names.index("_cuts")).to_pylist()
+            texts, cuts = b.column(names.index("text")).to_pylist(), b.column(names.index(found)).to_pylist()
             for k in [k for k, c in enumerate(cuts) if c and texts[k]]:
                 data = texts[k].encode()
                 sha = hashlib.sha256(b" ".join(data.split())).hexdigest()
