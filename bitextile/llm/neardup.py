@@ -15,7 +15,8 @@ on the full sets of the whole texts. Components are found by alternating large a
 
 Defined results: documents without words have size 0, are linked with nothing and are kept; with fewer words than a
 run has, the whole sequence is the one element. Rows without doc_id are never linked. Repeated rows have equal sets
-and so one component; all of them with its id are kept. Extra columns are ignored, or kept by deduplicated().
+and so one component; all of them with its id are kept. An empty table gives no rows. Extra columns are ignored, or kept
+as they are by deduplicated(). A doc_id with several texts counts as one node: what any of its texts links with is linked.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, prepare
 from . import textvec as tv
+from .columns import fresh, join_counted
 from .fingerprint import slices
 
 REGISTERS, BANDS, BASE, RATE, TOP = 128, 32, 1.05, 20.0, (1 << 15) - 1
 ESTIMATE = 0.55
-#: Links that one task turns into components; more are dealt out.
-FEW = 500_000
+#: Links that a task of the components' rounds reads.
+LINKS = 500_000
 #: Members of a bucket that are compared pair by pair, across components; larger ones go to the prefix join.
 SMALL = 8
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -163,18 +165,20 @@ def _prefix_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     rows = texts.select("node", "text", "component").mapInArrow(_elements(shingle), "node long, component long, elements array<long>")
     every = materialize(rows)
     each = every.select("node", "component", F.explode("elements").alias("element"))
+    total = every.agg(F.sum(F.size("elements"))).first()[0] or 0
     common = each.groupBy("element").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("c > 1")
+    common = materialize(common.select("element", "c", F.col("c").alias("rows"), (F.col("low") < F.col("high")).alias("joins")))
     # An element of one component only takes its place in the order, and joins nothing.
-    kept = each.select("node", "element").join(common.select("element", "c", (F.col("low") < F.col("high")).alias("joins")), "element")
+    kept = join_counted(each.select("node", "element"), common, "element", "rows", total)
     ordered = kept.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "element", "joins"))).alias("shared")).join(every.select("node", "component", F.size("elements").alias("n")), "node")
     first = F.col("n") - F.size("shared")  # how many come before, in this set only
     prefix = ordered.select("node", "component", "n", first.alias("first"), F.posexplode(F.expr("slice(shared, 1, greatest(0, int(n - ceil(n * {p} / 100) + 1) - (n - size(shared))))".replace("{p}", str(percent)))).alias("k", "s"))
     prefix = prefix.where("s.joins").select(F.col("s.element").alias("element"), "node", "component", "n", (F.col("first") + F.col("k")).alias("at"), (F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).alias("short"))
     prefix = materialize(prefix)
     # The largest component of each element meets the others only, so its members never meet each other.
-    most = prefix.groupBy("element", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("element").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    most = most.select("element", F.col("m.component").alias("largest"))
-    live = prefix.join(most, "element")
+    most = prefix.groupBy("element", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("element").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("rows")).where("kinds > 1")
+    most = materialize(most.select("element", F.col("m.component").alias("largest"), "rows"))
+    live = materialize(join_counted(prefix, most, "element", "rows", prefix.count()))
     left, right = (live.select("element", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "at", "short", "largest")]) for s in "lr")
     small = (F.col("n_l") < F.col("n_r")) | ((F.col("n_l") == F.col("n_r")) & (F.col("node_l") < F.col("node_r")))
     near = (F.col("component_l") != F.col("component_r")) & (F.least("n_l", "n_r") * 100 >= F.greatest("n_l", "n_r") * percent)
@@ -187,8 +191,8 @@ def _prefix_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of links (a, b)."""
     edges = materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    few = edges.count() <= FEW  # then one task does it without shuffles
-    edges = edges.coalesce(1) if few else edges
+    parts = edges.count() // LINKS + 1
+    edges = edges.coalesce(parts)
     state = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -197,7 +201,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.distinct())
-        edges = edges.coalesce(1) if few else edges
+        edges = edges.coalesce(parts)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -250,8 +254,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are kept: one doc_id of each group."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    own = fresh("gone_id", docs.columns)
+    gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.withColumn(own, F.col("doc_id").cast("long")).join(gone, own, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""
