@@ -7,10 +7,12 @@ occurrences located by walking to a sampled position, and overlapping spans merg
 
 Test phrases are the windows of n consecutive words of each benchmark item (an item of fewer words, but not none, is
 one window). The benchmark is sent to workers in blocks of at most BLOCK_BYTES of text, one step a block in the same
-stage, so what is broadcast is bounded however large the benchmark is, and no rows are shuffled.
+stage, so no rows are shuffled. After GROUP blocks rows and findings are written to a table and these blocks given up, so
+what is broadcast is bounded however large the benchmark is.
 
 Defined results: null and empty texts have no words; null, empty and repeated benchmark rows add nothing new; an item
-without an id marks words but isn't listed. Repeated documents are judged each by itself. Extra columns are kept.
+without an id marks words but isn't listed. Repeated documents are judged each by itself. An empty table gives no rows,
+an empty benchmark no hits. Extra columns are kept as they are; contamination()'s new names must be free.
 """
 
 from __future__ import annotations
@@ -22,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import materialize, prepare
 from . import textvec as tv
+from .columns import fresh, whole_text
 from .fingerprint import slices
 
 SAMPLE = 8
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 16 << 20
+#: Blocks that are broadcast at a time.
+GROUP = 8
 
 
 class WaveletMatrix:
@@ -183,27 +188,28 @@ def _merged(first: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _block(phrases, n: int, has: bool, strip: bool):
-    """has: the rows carry what earlier blocks have found."""
+def _block(phrases, n: int, text: str, names: tuple[str, str, str, str], has: bool):
+    """names: of the new columns; has: the rows carry what earlier blocks have found."""
+    n_words, n_hit, found_spans, found_items = names
 
     def run(batches):
         known = Phrases(phrases.value, n)
         for b in batches:
-            names = b.schema.names
-            text_at = names.index("text")
+            columns = b.schema.names
+            text_at = columns.index(text)
             for lo, hi in slices(b.column(text_at), SHARD_BYTES):
                 part = b.slice(lo, hi - lo)
                 h, offs, _, _ = tv.words(part.column(text_at), tv.ALNUM)
                 doc = np.repeat(np.arange(hi - lo), np.diff(offs))
                 hit = np.zeros(len(h), bool)
-                items = [set(x or ()) for x in part.column(names.index("items")).to_pylist()] if has else [set() for _ in range(hi - lo)]
+                items = [set(x or ()) for x in part.column(columns.index(found_items)).to_pylist()] if has else [set() for _ in range(hi - lo)]
                 for length, first, which in known.occurrences(h, offs):
                     hit |= _merged(first, np.full(len(first), length), len(h))
                     pair = np.unique(doc[first] * (len(known.items[length]) + 1) + which)
                     for d, w in zip((pair // (len(known.items[length]) + 1)).tolist(), (pair % (len(known.items[length]) + 1)).tolist()):
                         items[d].update(known.items[length][w])
                 if has:
-                    for d, found in enumerate(part.column(names.index("spans")).to_pylist()):
+                    for d, found in enumerate(part.column(columns.index(found_spans)).to_pylist()):
                         for x in found:
                             hit[offs[d] + x["start"] : offs[d] + x["end"]] = True
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
@@ -216,35 +222,43 @@ def _block(phrases, n: int, has: bool, strip: bool):
                         s = stop
                 cover = np.concatenate(([0], np.cumsum(hit)))
                 new = {
-                    "n_words": pa.array(np.diff(offs), pa.int64()), "n_hit": pa.array(cover[offs[1:]] - cover[offs[:-1]], pa.int64()),
-                    "spans": pa.array(spans, SPANS), "items": pa.array([sorted(x, key=str) for x in items], pa.list_(pa.int64())),
+                    n_words: pa.array(np.diff(offs), pa.int64()), n_hit: pa.array(cover[offs[1:]] - cover[offs[:-1]], pa.int64()),
+                    found_spans: pa.array(spans, SPANS), found_items: pa.array([sorted(x, key=str) for x in items], pa.list_(pa.int64())),
                 }
-                kept = [(k, part.column(k)) for k in names if k not in new]
+                kept = [(k, part.column(k)) for k in columns if k not in new]
                 yield pa.RecordBatch.from_pydict(dict(kept) | new)
 
     return run
 
 
-FOUND = "n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<long>"
+NAMES = ("n_words", "n_hit", "spans", "items")
+_KINDS = ("long", "long", "array<struct<start:int,end:int>>", "array<long>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all) of docs, and n_words, n_hit, spans (of hit words, from 0, end excluded), items (ids of the
-    items that occur, sorted as strings). Columns of docs with these four names are replaced."""
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | None = None, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
+    """The columns keep (all) of docs, and four new ones, by default n_words, n_hit, spans (of hit words, from 0, end
+    excluded), items (ids of the items that occur, sorted as strings)."""
     spark = prepare(docs.sparkSession)
-    new = ["n_words", "n_hit", "spans", "items"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    rows = rows.withColumn("text", F.col("text").cast("string"))
+    keep = list(docs.columns if keep is None else keep)
+    if {c.lower() for c in keep} & {c.lower() for c in names}:
+        raise ValueError(f"columns named {names} are in the table: give other names")
+    text, rows = whole_text(docs, keep)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    schema = ", ".join([kept, *(f"`{c}` {k}" for c, k in zip(names, _KINDS))])
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // (BLOCK_BYTES // 2) + 1)
+    shared: list = []
     for k in range(blocks):
+        if len(shared) == GROUP:
+            rows = materialize(rows)
+            for x in shared:
+                x.unpersist()
+            shared.clear()
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        phrases = spark.sparkContext.broadcast([tuple(r) for r in part.orderBy("item_id", "text").collect()])
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in new)
-        rows = rows.mapInArrow(_block(phrases, n, k > 0, False), f"{kept}, {FOUND}")
-    return rows.select(*keep, *new)
+        shared.append(spark.sparkContext.broadcast([tuple(r) for r in part.orderBy("item_id", "text").collect()]))
+        rows = rows.mapInArrow(_block(shared[-1], n, text, names, k > 0), schema)
+    return rows.select(*keep, *names)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -258,14 +272,15 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """docs with the hit words, and what stands between hit neighbours, cut out of text; other text stays as it is."""
     columns = docs.columns
-    found = contamination(docs, benchmark, n)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(*columns).schema)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    names = tuple(fresh(c, columns) for c in NAMES)
+    found = contamination(docs, benchmark, n, names=names).select(*columns, names[2])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def cut(batches):
         for b in batches:
-            names = b.schema.names
-            col, spans = b.column(names.index("text")), b.column(names.index("spans")).to_pylist()
-            texts = col.to_pylist()
+            own = b.schema.names
+            texts, spans = b.column(own.index("text")).to_pylist(), b.column(own.index(names[2])).to_pylist()
             for d in [k for k, x in enumerate(spans) if x]:
                 _, _, s, e = tv.words(pa.array([texts[d]], pa.large_string()), tv.ALNUM)
                 data, out, at = texts[d].encode(), [], 0
@@ -273,9 +288,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFr
                     out.append(data[at : int(s[x["start"]])])
                     at = int(e[x["end"] - 1])
                 texts[d] = b"".join([*out, data[at:]]).decode()
-            yield pa.RecordBatch.from_pydict({c: pa.array(texts, pa.string()) if c == "text" else b.column(names.index(c)) for c in columns})
+            yield pa.RecordBatch.from_pydict({c: pa.array(texts, pa.string()) if c == "text" else b.column(own.index(c)) for c in columns})
 
-    return found.select(*columns, "spans").mapInArrow(cut, schema)
+    return found.mapInArrow(cut, schema)
 
 
 ORACLE = r"""

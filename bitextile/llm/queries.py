@@ -6,8 +6,6 @@ from ..session import table
 from .decontaminate import ORACLE as _decontaminate
 from .licenses import ORACLE as _licenses
 from .neardup import ORACLE as _neardup
-from .licenses import ORACLE as _licenses
-from .neardup import ORACLE as _neardup
 from .substring import ORACLE as _substring
 
 
