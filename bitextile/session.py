@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
@@ -25,21 +26,46 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.environment.setdefault("MALLOC_ARENA_MAX", "2")
         sc.environment.setdefault("MALLOC_TRIM_THRESHOLD_", "1048576")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/bitextile-checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "/tmp/bitextile-checkpoints")
     return spark
 
 
+_tables: list[tuple[object, str]] = []
+
+
+def _remove(context, path: str) -> None:
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release() -> None:
+    """Delete the tables that materialize() has written: what was read from them must be done."""
+    while _tables:
+        context, path = _tables.pop()
+        try:
+            _remove(context, path)
+        except Exception:  # noqa: BLE001  the session has ended: the cluster's cleaning is left
+            break
+
+
+atexit.register(release)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table under the shared checkpoint folder and read it again.
 
     This cuts the lineage: a lost executor costs no more than the tasks that read from it. Files live in the folder of
-    ``spark.checkpoint.dir`` and so outlast executors; the cluster's cleaning of that folder removes them.
+    ``spark.checkpoint.dir`` and so outlast executors; release(), called at the driver's end too, removes them.
     """
     spark = df.sparkSession
     prepare(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{base}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append((spark.sparkContext, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

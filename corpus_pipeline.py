@@ -1,6 +1,13 @@
 """Documents to token ids: toxic documents go, near copies go, repeated passages and benchmark passages are cut out of
 the texts, and what is left is encoded. Each stage calls one operator of bitextile.llm and works on all rows that the
-stage before it kept; its result is written as Parquet and read again as the next one's documents."""
+stage before it kept; its result is written as Parquet and read again as the next one's documents.
+
+Defined results: all but the last stage return the columns of documents, extra ones too, whatever their names. An empty
+table stays empty; without labels, or a benchmark, a stage removes nothing. Null and empty texts go through every stage
+(no ids at the end). Rows without doc_id are never near copies, and neither lose words nor count as references. Repeated
+rows with one doc_id stay together: all of them are kept, or none. n_chars follows a text that a stage changes; a null
+text keeps its n_chars.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +28,7 @@ def _sized(rows: DataFrame, like: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject, learned from the labels of the training rows."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.accepted(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
