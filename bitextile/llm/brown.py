@@ -238,7 +238,7 @@ def exchange(pairs, fixed: int, classes: int = CLASSES, rounds: int | None = Non
             b[a] -= r
             b[:, a] -= le
             b[a, a] -= own
-            rows, cols = b.sum(1), b.sum(0)
+            rows, cols = b.sum(1) + le, b.sum(0) + r  # as they are in any class
             p, q = np.flatnonzero(r), np.flatnonzero(le)
             bp, bq = b[:, p], b[q]
             gain = (_xlogx(bp + r[p]) - _xlogx(bp)).sum(1) + (_xlogx(bq + le[q, None]) - _xlogx(bq)).sum(0)
