@@ -1,8 +1,9 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes.
 
-A forgiving parser builds the tree of block elements of each whole page (inline elements belong to their block). Each
-node has features of its tag, its attribute tokens, its depth, its subtree's density of text, links and nodes, its
-siblings and its ancestors; boosted trees give the log-odds that its text is main text. Labels are decoded for the
+A forgiving parser, linear in the page's length, builds the tree of block elements of each whole page (inline elements
+belong to their block). Each node has features of its tag, its depth, its subtree's density of text, links and nodes,
+its siblings, its ancestors and its attribute tokens: TOKENS hashed buckets of words of class, id, role and itemprop,
+each with the log-odds of main text that the training pages show for it; boosted trees give the log-odds that its text is main text. Labels are decoded for the
 whole tree at once: a node is outside (its children may begin main text), inside, or excluded with all below it, and
 the consistent labelling with the largest sum of log-odds is kept, so no descendant contradicts an ancestor. What is
 never text (scripts, styles, comments, markup, form controls) is dropped by the parser.
@@ -12,13 +13,15 @@ adverts, sidebars, notices, forms, comments and footers around and inside articl
 
 Text of a block: character references decoded, white space made one space (a line break too), trimmed; blocks in page
 order are joined by a line feed. Defined results: null, empty and text-free pages have the empty text. Unclosed and
-stray tags never fail. Repeated rows are extracted alike; extra columns are ignored.
+stray tags never fail. Repeated rows are extracted alike; null page_id and url stay null; an empty table has no rows; extra columns are ignored. A "<" that
+begins no tag, or after which no ">" comes, is text.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import prepare
 from .fingerprint import slices
 
-PAGES, TREES, DEPTH, BINS, STEP = 500, 60, 4, 32, 0.2
+PAGES, TREES, DEPTH, BINS, STEP, TOKENS = 500, 60, 4, 32, 0.2, 4096
 #: What it costs, in weighted log-odds, to begin main text at a node: scattered small blocks don't pay.
 BEGIN = 12.0
 
@@ -41,28 +44,83 @@ KINDS = [
     {"nav", "menu"}, {"header", "hgroup"}, {"footer", "address"}, {"aside"}, {"form", "fieldset", "dialog"}, {"table", "tbody", "thead", "tr", "td", "th"},
     {"pre", "blockquote", "figure", "figcaption", "details"}, {"html", "body"},
 ]
-GOOD = frozenset("article content main post entry story body text blog page prose markdown".split())
-BAD = frozenset(
-    "ad ads advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget footer foot header masthead "
-    "comment comments reply replies respond discussion disqus share social follow cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login form search related "
-    "recommended recommendations more links tags meta copyright legal pagination pager toolbar button".split()
-)
 BARRIER = frozenset("html body article main section div td th table aside nav footer header form blockquote li".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]*)[\s]*(=?)[\s]*")
+_BARE = re.compile(r"[^\s>]*")
+TELLING = frozenset(("class", "id", "role", "itemprop"))
 _WORD = re.compile(r"[a-z]+")
 _RAWEND = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _KIND = {t: k for k, group in enumerate(KINDS) for t in group}
 
 
+def token(word: str) -> int:
+    return zlib.crc32(word.encode()) % TOKENS
+
+
+class Scanner:
+    """Finds tags one after the other. Positions are only looked for once: what no later text has is remembered."""
+
+    def __init__(self, source: str):
+        self.source, self.last, self.none = source, source.rfind(">"), set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        k = self.source.find(what, at)
+        if k < 0:
+            self.none.add(what)
+        return k
+
+    def next(self, at: int) -> tuple[int, int, str, list[tuple[str, str]]] | None:
+        """The first tag at or after a place: its beginning, its end, its name with a slash for an end tag ("" for a
+        comment or declaration; a slash after it stands as a last attribute), and its attributes."""
+        source = self.source
+        while True:
+            at = source.find("<", at)
+            if at < 0 or at >= self.last:
+                return None
+            if source.startswith("<!--", at):
+                k = self.find("-->", at + 2)
+                return at, len(source) if k < 0 else k + 3, "", []
+            if source[at + 1] in "!?":
+                return at, source.index(">", at) + 1, "", []
+            m = _NAME.match(source, at + 1)
+            if m is None:
+                at += 1
+                continue
+            k, found = m.end(), []
+            while k < len(source) and source[k] != ">":
+                a = _ATTRIBUTE.match(source, k)
+                name, k = a.group(1), a.end()
+                if not a.group(2):
+                    if name:
+                        found.append((name, ""))
+                    continue
+                q = source[k] if k < len(source) else ""
+                close = self.find(q, k + 1) if q and q in "\"'" else -1
+                if close >= 0:
+                    found.append((name, source[k + 1 : close]))
+                    k = close + 1
+                else:  # ends at white space or ">", whatever quotes it has
+                    b = _BARE.match(source, k)
+                    found.append((name, b.group()))
+                    k = b.end()
+            if k >= len(source):  # a quote reaches behind the last ">"
+                return at, source.index(">", at) + 1, m.group(), found[:0]
+            if source[k - 1] == "/" and (not found or not found[-1][1].endswith("/")):
+                found.append(("/", ""))
+            return at, k + 1, m.group(), found
+
+
 class Page:
     """Block elements in page order (parents first) and the page's blocks of text."""
 
-    __slots__ = ("tag", "parent", "good", "bad", "blocks", "links")
+    __slots__ = ("tag", "parent", "tokens", "blocks")
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.good, self.bad = ["html"], [-1], [0], [0]
+        self.tag, self.parent, self.tokens = ["html"], [-1], [()]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         stack: list[tuple[str, int]] = [("html", 0)]
         open_: dict[str, int] = {"html": 1}
@@ -87,18 +145,20 @@ class Page:
                     in_link -= 1
 
         at, end = 0, len(source)
-        for m in iter(lambda: _TAG.search(source, at), None):
-            if m.start() > at:
-                piece = source[at : m.start()]
+        scanner, never = Scanner(source), set()
+        for first, after, name, attributes in iter(lambda: scanner.next(at), None):
+            if first > at:
+                piece = source[at:first]
                 parts.append(piece)
                 if in_link:
                     links += len(piece)
-            at = m.end()
-            name = m.group(2)
-            if name is None:
+            at = after
+            if not name:
                 continue
             name = name.lower()
-            if m.group(1):
+            whole = bool(attributes) and attributes[-1][0] == "/"
+            if name[0] == "/":
+                name = name[1:]
                 if open_.get(name):
                     k = len(stack) - 1
                     while stack[k][0] != name:
@@ -112,8 +172,10 @@ class Page:
                 continue
             if name in _RAWEND:
                 parts.append(" ")
-                stop = _RAWEND[name].search(source, at)
-                if not m.group(3).endswith("/"):
+                stop = None if name in never else _RAWEND[name].search(source, at)
+                if stop is None:
+                    never.add(name)
+                if not whole:
                     at = stop.end() if stop else end if name in ("script", "style") else at
                 continue
             if name in VOID:
@@ -122,7 +184,7 @@ class Page:
                 parts.append(" ")
                 continue
             if name in INLINE:
-                if not m.group(3).endswith("/"):
+                if not whole:
                     stack.append((name, stack[-1][1]))
                     open_[name] = open_.get(name, 0) + 1
                     in_link += name == "a"
@@ -140,29 +202,23 @@ class Page:
                     k -= 1
                 if stack[k][0] == ends:
                     close(k)
-            good = bad = 0
-            if m.group(3):
-                for a in _ATTR.findall(m.group(3)):
-                    for w in _WORD.findall("".join(a).lower()):
-                        good += w in GOOD
-                        bad += w in BAD
+            own = {token(w) for n, value in attributes if n.lower() in TELLING for w in _WORD.findall(value.lower())}
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1][1])
-            self.good.append(good)
-            self.bad.append(bad)
+            self.tokens.append(tuple(sorted(own)))
             stack.append((name, node))
             open_[name] = open_.get(name, 0) + 1
-        if at < end and source[at] != "<":
+        if at < end:
             parts.append(source[at:])
         flush()
 
 
-NAMES = ["depth", "text", "own", "nodes", "density", "link_share", "own_links", "stops", "place", "siblings", "of_parent", "of_page", "good", "bad", "up_good", "up_bad", "before", "after", "parent_kind", "paragraphs", *(f"is{k}" for k in range(len(KINDS))), *(f"under{k}" for k in range(len(KINDS)))]
-_BAD_KIND = np.array([6, 7, 8, 9, 10])
+NAMES = ["depth", "text", "own", "nodes", "density", "link_share", "own_links", "stops", "place", "siblings", "of_parent", "of_page", "best_token", "worst_token", "up_best", "up_worst", "before", "after", "parent_kind", "paragraphs", *(f"is{k}" for k in range(len(KINDS))), *(f"under{k}" for k in range(len(KINDS)))]
 
 
-def features(p: Page) -> np.ndarray:
+def features(p: Page, odds: np.ndarray) -> np.ndarray:
+    """odds: log-odds of main text of the attribute tokens."""
     n = len(p.tag)
     parent = np.array(p.parent)
     kind = np.array([_KIND.get(t, -1) for t in p.tag])
@@ -172,9 +228,13 @@ def features(p: Page) -> np.ndarray:
         links[node] += ln
         stops[node] += text.count(".") + text.count(",") + text.count("?") + text.count("!")
     text, link, stop, nodes, par = own.copy(), links.copy(), stops.copy(), np.ones(n), (kind == 0).astype(float)
-    depth, up_good, up_bad = np.zeros(n), np.zeros(n), np.zeros(n)
+    depth, up_best, up_worst = np.zeros(n), np.zeros(n), np.zeros(n)
     under = np.zeros((n, len(KINDS)))
-    good, bad = np.array(p.good, float), np.array(p.bad, float)
+    best, worst = np.zeros(n), np.zeros(n)
+    for k, own_tokens in enumerate(p.tokens):
+        if own_tokens:
+            x = odds[list(own_tokens)]
+            best[k], worst[k] = max(x.max(), 0), min(x.min(), 0)
     count, place = np.zeros(n), np.zeros(n)
     before, after, last = np.zeros(n), np.zeros(n), {}
     for k in range(n - 1, 0, -1):
@@ -187,8 +247,8 @@ def features(p: Page) -> np.ndarray:
     for k in range(1, n):
         q = parent[k]
         depth[k] = depth[q] + 1
-        up_good[k] = up_good[q] + good[q]
-        up_bad[k] = up_bad[q] + bad[q]
+        up_best[k] = max(up_best[q], best[q])
+        up_worst[k] = min(up_worst[q], worst[q])
         under[k] = under[q]
         if kind[q] >= 0:
             under[k, kind[q]] = 1
@@ -205,7 +265,7 @@ def features(p: Page) -> np.ndarray:
     one[np.flatnonzero(has), kind[has]] = 1
     cols = [
         depth, np.log1p(text), np.log1p(own), np.log1p(nodes), np.log1p(text / nodes), np.minimum(link / np.maximum(text, 1), 2), np.minimum(links / np.maximum(own, 1), 2), stop / np.maximum(text, 1),
-        place / np.maximum(siblings, 1), np.log1p(siblings), of_parent, text / max(text[0], 1), np.minimum(good, 3), np.minimum(bad, 3), np.minimum(up_good, 3), np.minimum(up_bad, 3), np.log1p(before), np.log1p(after), np.where(parent >= 0, kind[parent], -1), np.log1p(par),
+        place / np.maximum(siblings, 1), np.log1p(siblings), of_parent, text / max(text[0], 1), best, worst, up_best, up_worst, np.log1p(before), np.log1p(after), np.where(parent >= 0, kind[parent], -1), np.log1p(par),
     ]
     return np.concatenate([np.stack(cols, 1), one, under], 1).astype(np.float32)
 
@@ -340,16 +400,14 @@ def _made(rng) -> tuple[str, set[str]]:
     return "<html><head><title>x</title><style>p{}</style></head><body>" + "".join([*top, core, *bottom]) + "</body></html>"
 
 
-_model: list[Boosted] = []
+class Extractor:
+    """The attribute tokens' log-odds and the trees, from pages (source, whose main blocks begin with "kept"). Tokens are
+    learned on the even pages, trees on the odd ones, so that trees see what tokens are worth on other pages."""
 
-
-def model() -> Boosted:
-    """Trained once a process."""
-    if not _model:
-        rng = np.random.Generator(np.random.PCG64(5))
-        xs, ys, ws = [], [], []
-        for _ in range(PAGES):
-            p = Page(_made(rng))
+    def __init__(self, sources: list[str]):
+        pages = [Page(x) for x in sources]
+        known = []
+        for p in pages:
             size, main = np.zeros(len(p.tag)), np.zeros(len(p.tag))
             for node, text, _ in p.blocks:
                 k = node
@@ -357,12 +415,30 @@ def model() -> Boosted:
                     size[k] += len(text)
                     main[k] += len(text) * text.startswith("kept")
                     k = p.parent[k]
-            y = main > 0.7 * size
-            xs.append(features(p))
-            ys.append(y)
-            ws.append((size > 0) * (1 + np.log1p(size)))
-        x, y, w = np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws)
-        _model.append(Boosted(x[w > 0], y[w > 0], w[w > 0] / w.mean()))
+            known.append((size, main > 0.7 * size))
+        seen = np.zeros((TOKENS, 2))
+        for p, (size, y) in list(zip(pages, known))[::2]:
+            for k, own in enumerate(p.tokens):
+                if size[k]:
+                    seen[list(own), int(y[k])] += 1
+        rate = seen.sum(0) / max(seen.sum(), 1)
+        near = seen + 4 * np.maximum(rate, 1e-3)
+        self.odds = np.where(seen.sum(1) > 0, np.log(near[:, 1] / near[:, 0]) - np.log(max(rate[1], 1e-3) / max(rate[0], 1e-3)), 0.0)
+        odd = list(zip(pages, known))[1::2]
+        x = np.concatenate([features(p, self.odds) for p, _ in odd])
+        y = np.concatenate([y for _, (_, y) in odd]).astype(float)
+        w = np.concatenate([(size > 0) * (1 + np.log1p(size)) for _, (size, _) in odd])
+        self.trees = Boosted(x[w > 0], y[w > 0], w[w > 0] / w.mean())
+
+
+_model: list[Extractor] = []
+
+
+def model() -> Extractor:
+    """Trained once a process."""
+    if not _model:
+        rng = np.random.Generator(np.random.PCG64(5))
+        _model.append(Extractor([_made(rng) for _ in range(2 * PAGES)]))
     return _model[0]
 
 
@@ -391,12 +467,12 @@ def decode(p: Page, logodds: np.ndarray) -> np.ndarray:
     return state == 1
 
 
-def extract(sources: list[str | None], trees: Boosted) -> list[str]:
+def extract(sources: list[str | None], extractor: Extractor) -> list[str]:
     pages = [Page(s or "") for s in sources]
     if not pages:
         return []
-    found = [features(p) for p in pages]
-    scores = trees.logodds(np.concatenate(found))
+    found = [features(p, extractor.odds) for p in pages]
+    scores = extractor.trees.logodds(np.concatenate(found))
     out, at = [], 0
     for p, x in zip(pages, found):
         keep = decode(p, scores[at : at + len(x)])
@@ -408,12 +484,12 @@ def extract(sources: list[str | None], trees: Boosted) -> list[str]:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     spark = prepare(pages.sparkSession)
-    trees = spark.sparkContext.broadcast(model())
+    learned = spark.sparkContext.broadcast(model())
 
     def run(batches):
         for b in batches:
             for lo, hi in slices(b.column(2)):
-                texts = extract(b.column(2).slice(lo, hi - lo).to_pylist(), trees.value)
+                texts = extract(b.column(2).slice(lo, hi - lo).to_pylist(), learned.value)
                 yield pa.RecordBatch.from_pydict({"page_id": b.column(0).slice(lo, hi - lo), "url": b.column(1).slice(lo, hi - lo), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
