@@ -452,4 +452,4 @@ def progression_steps(spark, sf):
 
     d = docs(spark, sf)
     texts = sequence.sentence_links(d).where(F.col("score") >= 0.45).select("pair_id", "source_paragraph", "source_start", "source_text", "target_text")
-    return progression.progressions(sequence.token_alignment(d), texts)
+    return progression.progressions(*progression.token_options(sequence.token_alignment(d), texts))
