@@ -75,3 +75,8 @@ def span_total(a: str, b: str, languages: tuple[str, str] = ("pl", "cs")) -> flo
     """For spans of sentences; without an analyser's tags the overlap of tags is that of two empty sets."""
     length, trigram, punctuation, digit = signals(a, b)
     return 0.28 * length + 0.28 * trigram + 0.14 * punctuation + 0.05 * digit + 0.15 * overlap(lemmas(a, languages[0]), lemmas(b, languages[1])) + 0.05 + 0.05
+
+
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """First and last-plus-one characters of tokens()."""
+    return [m.span() for m in _TOKEN.finditer(text)]

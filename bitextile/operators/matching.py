@@ -1,7 +1,8 @@
 """Candidate generation: windowed joins with scores and top-k, on pairs of documents and of books.
 
-A window of places is a range predicate; here it is an array of places that each source item brings along, so the only
-shuffle is the equi-join that pairs the two sides, and top-k needs no window function.
+A window of places is a range predicate. Places are cut into bins as wide as a window, so a window meets one or two bins:
+a source item goes to these, a target item to its own, and an equi-join on (pair, bin) brings them together. Each text
+and its trigrams are made once and copied twice at most; top-k is an aggregate of a window's few candidates.
 """
 
 from __future__ import annotations
@@ -25,21 +26,30 @@ def places(expected: Column, radius: int, total: Column) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
-def paragraph_candidates(docs: DataFrame, window: int = 3, top_k: int = 3) -> DataFrame:
-    """For each source paragraph of a document pair its best targets: half place, three tenths length, a fifth trigrams."""
-    grams = lambda c: F.transform(c, lambda t: T.grams(T.squeezed(t)))
-    rows = doc_pairs(docs).withColumns({"ga": grams(F.col("a")), "gb": grams(F.col("b")), "n": F.size("a"), "m": F.size("b")}).where("m > 0")
-    one = rows.select("pair_id", "n", "m", "b", "gb", F.posexplode(F.arrays_zip(F.col("a").alias("t"), F.col("ga").alias("g"))).alias("k", "s"))
-    one = one.select("pair_id", "n", "m", (F.col("k") + 1).alias("i"), F.col("s.t").alias("text"), F.col("s.g").alias("g"), "b", "gb")
-    one = one.withColumn("near", places(T.expected_index(F.col("i"), F.col("n"), F.col("m")), window, F.col("m")))
+def windowed(docs: DataFrame, window: int = 3) -> DataFrame:
+    """Each source paragraph of a document pair with each target paragraph in its window: pair_id, i, j, n, m, both texts,
+    and the three measures."""
+    width = 2 * window + 1
+    rows = doc_pairs(docs).withColumns({"n": F.size("a"), "m": F.size("b")}).where("m > 0")
+    grams = lambda c: F.transform(T.grams(T.squeezed(F.col(c))), lambda g: F.xxhash64(g))
+    left = rows.select("pair_id", "n", "m", F.posexplode("a").alias("k", "source_text")).select("pair_id", "n", "m", (F.col("k") + 1).alias("i"), "source_text", grams("source_text").alias("g"))
+    expected = T.expected_index(F.col("i"), F.col("n"), F.col("m"))
+    left = left.withColumns({"low": F.greatest(F.lit(1), expected - window), "high": F.least(F.col("m"), expected + window)}).where("low <= high")
+    slot = lambda c: F.floor((F.col(c) - 1) / width).cast("int")
+    left = left.withColumn("bin", F.explode(F.array_distinct(F.array(slot("low"), slot("high")))))
+    right = rows.select("pair_id", F.posexplode("b").alias("k", "target_text")).select("pair_id", (F.col("k") + 1).alias("j"), "target_text", grams("target_text").alias("h"))
+    met = left.join(right.withColumn("bin", slot("j")), ["pair_id", "bin"]).where("j between low and high")
+    return met.select(
+        "pair_id", "i", "j", "source_text", "target_text", T.position_similarity(F.col("i"), F.col("n"), F.col("j"), F.col("m")).alias("position"),
+        T.ratio(F.length("source_text"), F.length("target_text")).alias("length"), T.jaccard(F.col("g"), F.col("h")).alias("char_trigram"),
+    ).withColumn("score", F.col("position") * 0.50 + F.col("length") * 0.30 + F.col("char_trigram") * 0.20)
 
-    def score(j):
-        position = T.position_similarity(F.col("i"), F.col("n"), j, F.col("m"))
-        length = T.ratio(F.length("text"), F.length(F.element_at("b", j)))
-        trigram = T.jaccard(F.col("g"), F.element_at("gb", j))
-        return F.struct(j.alias("target"), (position * 0.50 + length * 0.30 + trigram * 0.20).alias("score"), position.alias("position"), length.alias("length"), trigram.alias("char_trigram"))
 
-    ranked = one.select("pair_id", "i", F.posexplode(_top(F.transform("near", score), top_k)).alias("r", "c"))
+def paragraph_candidates(docs: DataFrame, window: int = 3, top_k: int = 3) -> DataFrame:
+    """For each source paragraph of a document pair its best targets: half place, three tenths length, a fifth trigrams."""
+    order = F.struct((-F.col("score")).alias("worse"), F.col("j").alias("target"), "score", "position", "length", "char_trigram")
+    best = windowed(docs, window).groupBy("pair_id", "i").agg(F.slice(F.array_sort(F.collect_list(order)), 1, top_k).alias("top"))  # 2 * window + 1 each
+    ranked = best.select("pair_id", "i", F.posexplode("top").alias("r", "c"))
     return ranked.select("pair_id", F.col("i").alias("source_index"), (F.col("r") + 1).alias("rank"), F.col("c.target").alias("target_index"), "c.score", "c.position", "c.length", "c.char_trigram")
 
 

@@ -7,7 +7,10 @@ that pair; paths are kept as back-pointers. The DataFrame operators deal pairs t
 from __future__ import annotations
 
 import difflib
+import hashlib
+from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +21,7 @@ from ..functions import plain as P
 from ..functions import text as T
 from ..session import prepare
 from .corpus import doc_pairs
-from .matching import _top, book_pairs, places
+from .matching import book_pairs, windowed
 
 
 def monotone(n: int, m: int, moves: Callable, start: float = 0.0) -> tuple[float | None, list[tuple]]:
@@ -161,24 +164,29 @@ def paragraph_blocks(a: Paragraphs, b: Paragraphs, most: int = 4, skips: tuple[f
 
 def token_links(a: str, b: str, languages=("pl", "cs"), least: float = 0.45) -> list[tuple[int, int, str, float]]:
     """Words in order, each to the best later word: equal forms, equal lemmas, or like forms."""
-    words = lambda t, lang: [(k, P.squeezed(w), P.lemma(w, lang)) for k, w, kind in P.tokens(t) if kind == "word"]
-    targets, out, first = words(b, languages[1]), [], 1
-    for k, form, lem in words(a, languages[0]):
-        best = None
-        for j, other, other_lem in targets:
-            if j < first:
-                continue
-            if form == other:
-                score, relation = 1.0, "exact"
-            elif lem == other_lem:
-                score, relation = 0.92, "lemma_like"
-            else:
-                score = P.overlap(P.grams(form), P.grams(other), 0.0)
-                relation = "cognate" if score >= 0.35 else "weak"
-            if score >= least and (best is None or round(score, 6) > best[3]):
-                best = (k, j, relation, round(score, 6))
+    own, other = ([(k, P.squeezed(w), P.lemma(w, lang)) for k, w, kind in P.tokens(t) if kind == "word"] for t, lang in zip((a, b), languages))
+    forms, lemmas, sets, holders = {}, {}, {}, {}
+    for n, (_, form, lem) in enumerate(other):
+        grams = P.grams(form)
+        for index, key in ((forms, form), (lemmas, lem), (sets, grams)):
+            index.setdefault(key, []).append(n)
+        for g in grams:
+            holders.setdefault(g, []).append(n)
+    out, first = [], 0
+    for k, form, lem in own:
+        grams = P.grams(form)
+        found = []  # (worse, place, relation, score)
+        found += [(-1.0, n, "exact", 1.0) for n in forms.get(form, ()) if n >= first][:1]
+        found += [(-1.0, n, "cognate", 1.0) for n in sets[grams] if n >= first and other[n][1] != form and other[n][2] != lem][:1] if grams in sets else []
+        if not found:
+            found += [(-0.92, n, "lemma_like", 0.92) for n in lemmas.get(lem, ()) if n >= first][:1]
+            for n, c in Counter(n for g in grams for n in holders.get(g, ()) if n >= first).items():
+                if other[n][2] != lem:
+                    like = c / (len(grams) + len(P.grams(other[n][1])) - c)
+                    found.append((-round(like, 6), n, "cognate" if like >= 0.35 else "weak", like))
+        best = min((x for x in found if x[3] >= least), default=None)
         if best:
-            out.append(best)
+            out.append((k, other[best[1]][0], best[2], -best[0]))
             first = best[1] + 1
     return out
 
@@ -204,18 +212,9 @@ def _pairs(kernel):
 
 def best_paragraphs(docs: DataFrame, window: int = 3) -> DataFrame:
     """pair_id, source and target paragraph places and texts: each source paragraph with its best candidate."""
-    gram = lambda c: F.transform(c, lambda t: T.grams(T.squeezed(t)))
-    rows = doc_pairs(docs).withColumns({"ga": gram(F.col("a")), "gb": gram(F.col("b")), "n": F.size("a"), "m": F.size("b")}).where("m > 0")
-    one = rows.select("pair_id", "n", "m", "b", "gb", F.posexplode(F.arrays_zip(F.col("a").alias("t"), F.col("ga").alias("g"))).alias("k", "s"))
-    one = one.select("pair_id", "n", "m", (F.col("k") + 1).alias("i"), F.col("s.t").alias("source_text"), F.col("s.g").alias("g"), "b", "gb")
-    one = one.withColumn("near", places(T.expected_index(F.col("i"), F.col("n"), F.col("m")), window, F.col("m")))
-
-    def score(j):
-        total = T.position_similarity(F.col("i"), F.col("n"), j, F.col("m")) * 0.50 + T.ratio(F.length("source_text"), F.length(F.element_at("b", j))) * 0.30 + T.jaccard(F.col("g"), F.element_at("gb", j)) * 0.20
-        return F.struct(j.alias("target"), total.alias("score"))
-
-    top = one.withColumn("c", F.try_element_at(_top(F.transform("near", score), 1), F.lit(1))).where("c is not null")
-    return top.select("pair_id", F.col("i").alias("source_paragraph"), F.col("c.target").alias("target_paragraph"), "source_text", F.element_at("b", F.col("c.target")).alias("target_text"))
+    order = F.struct((-F.col("score")).alias("worse"), "j", "source_text", "target_text")
+    top = windowed(docs, window).groupBy("pair_id", "i").agg(F.min(order).alias("c"))
+    return top.select("pair_id", F.col("i").alias("source_paragraph"), F.col("c.j").alias("target_paragraph"), "c.source_text", "c.target_text")
 
 
 def sentence_links(docs: DataFrame, kernel: str = "greedy", window: int = 3) -> DataFrame:
@@ -263,15 +262,17 @@ def paragraph_alignment(docs: DataFrame) -> DataFrame:
     return rows.select("pair_id", "n", "m", F.explode_outer(blocks("_a", "_b")).alias("l")).select("pair_id", "n", "m", "l.*")
 
 
+@lru_cache(1 << 16)
+def _bucket(gram: str, buckets: int) -> int:
+    return int(hashlib.md5(gram.encode()).hexdigest()[:8], 16) % buckets
+
+
 def _vectors(texts: list[str], buckets: int = 128) -> np.ndarray:
     """The vectors of functions.text.hashed_trigrams."""
-    import hashlib
-
     out = np.zeros((len(texts), buckets))
     for k, t in enumerate(texts):
         s = P.squeezed(t)
-        for i in range(max(1, len(s) - 2)):
-            out[k, int(hashlib.md5(s[i : i + 3].encode()).hexdigest()[:8], 16) % buckets] += 1
+        out[k] = np.bincount([_bucket(s[i : i + 3], buckets) for i in range(max(1, len(s) - 2))], minlength=buckets)
         out[k] /= np.linalg.norm(out[k])
     return out
 

@@ -30,6 +30,12 @@ def docs(spark, sf):
     return table(prepare(spark), sf, "documents")
 
 
+def _linked(d):
+    """Word links, and the sentence links' texts that they come from; the links are made once."""
+    links = materialize(sequence.sentence_links(d).where(F.col("score") >= 0.45))
+    return sequence.word_links(links), links.select("pair_id", "source_paragraph", "source_start", "source_text", "target_text")
+
+
 # SQL pieces for the oracle.
 CLEAN = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _FOLD = r"regexp_replace(strip_accents({}), '[^\x00-\x7F]', '', 'g')"
@@ -174,7 +180,9 @@ def token_links(spark, sf):
 
 @query()
 def action_inventory(spark, sf):
-    return reports.action_inventory(sequence.token_alignment(docs(spark, sf)))
+    from ..operators import planning
+
+    return reports.action_inventory(planning.with_families(*_linked(docs(spark, sf))))
 
 
 @query()
@@ -311,7 +319,8 @@ def czech_order(spark, sf):
 def policy_gates(spark, sf):
     from ..operators import planning
 
-    return planning.gated(sequence.token_alignment(docs(spark, sf)), planning.Gates(require_low_false_friend_risk=True))
+    links = materialize(sequence.sentence_links(docs(spark, sf)).where(F.col("score") >= 0.45))
+    return planning.gated(materialize(sequence.word_links(links)), links, planning.Gates(require_low_false_friend_risk=True))
 
 
 @query()
@@ -327,23 +336,28 @@ def unit_plans(spark, sf):
 
     d = docs(spark, sf)
     words = corpus.doc_pairs(d).where(F.size("b") > 0).select("pair_id", F.posexplode("a").alias("k", "t")).select("pair_id", (F.col("k") + 1).alias("source_paragraph"), F.size(F.filter(T.tokens(F.col("t")), lambda x: x.rlike(r"\p{L}"))).alias("words"))
-    return planning.unit_plans(sequence.token_alignment(d), words)
+    return planning.unit_plans(*_linked(d), words)
 
 
 @query()
 def hybrid_sentences(spark, sf):
     from ..operators import planning
 
-    return planning.hybrid_sentences(docs(spark, sf))
+    return planning.hybrid_sentences(*_linked(docs(spark, sf)))
+
+
+@query()
+def hybrid_diff(spark, sf):
+    from ..operators import planning
+
+    return planning.hybrid_diff(planning.hybrid_sentences(*_linked(docs(spark, sf))))
 
 
 @query()
 def dictionary(spark, sf):
     from ..operators import planning
 
-    d = docs(spark, sf)
-    texts = sequence.sentence_links(d).select("pair_id", "source_paragraph", "source_start", "source_text", "target_text")
-    return planning.dictionary(sequence.token_alignment(d), texts)
+    return planning.dictionary(*_linked(docs(spark, sf)))
 
 
 @query("with recursive t as (select l_orderkey as s, cast(l_linenumber as bigint) as k from lineitem group by all), up as (select s, k, k as root from t union select up.s, up.k, up.root // 2 from up where up.root // 2 > 0 and exists (select 1 from t where t.s = up.s and t.k = up.root // 2)) select s as sentence_id, root, count(*) as size from up group by s, root")
@@ -450,6 +464,4 @@ def link_rationales(spark, sf):
 def progression_steps(spark, sf):
     from ..operators import progression
 
-    d = docs(spark, sf)
-    texts = sequence.sentence_links(d).where(F.col("score") >= 0.45).select("pair_id", "source_paragraph", "source_start", "source_text", "target_text")
-    return progression.progressions(*progression.token_options(sequence.token_alignment(d), texts))
+    return progression.progressions(*progression.token_options(*_linked(docs(spark, sf))))

@@ -96,10 +96,35 @@ def test_schedule_follows_the_curve():
     assert errors == sorted(errors, reverse=True) and planning.schedule([]) == []
 
 
+def test_word_links_equal_a_plain_search():
+    from bitextile.functions import plain as P
+
+    r = random.Random(8)
+    for _ in range(200):
+        a, b = (" ".join(r.choice(["abab", "ababab", "domu", "domů", "domem", "kot", "kota", "psa", "pies", ",", "7", "x"]) for _ in range(r.randrange(1, 14))) for _ in range(2))
+        words = lambda t, lang: [(k, P.squeezed(w), P.lemma(w, lang)) for k, w, kind in P.tokens(t) if kind == "word"]
+        want, first = [], 1
+        for k, form, lem in words(a, "pl"):
+            scored = []
+            for j, other, other_lem in words(b, "cs"):
+                score = 1.0 if form == other else 0.92 if lem == other_lem else P.overlap(P.grams(form), P.grams(other), 0.0)
+                relation = "exact" if form == other else "lemma_like" if lem == other_lem else "cognate"
+                if j >= first and score >= 0.45:
+                    scored.append((-round(score, 6), j, relation))
+            if scored:
+                score, j, relation = min(scored)
+                want.append((k, j, relation, -score))
+                first = j + 1
+        assert sequence.token_links(a, b) == want
+
+
 def test_planner_and_render():
     plan = planning.plan_units([(1, 4, [("a", 0.9), ("b", 0.5)]), (2, 4, [("a", 0.9), ("c", 0.8)])])
     assert [p[1] for p in plan][0] == 0 and all(0 <= p[3] <= 1 for p in plan)
     assert planning.render("Pes jde domů.", [(1, 1, "pies"), (1, 2, "pies idzie")]) == "pies idzie domů."
+    assert planning.render("Ano ,  ten pes(y)!", [(4, 4, "kot"), (3, 3, "to"), (4, 5, "kot ("), (99, 99, "?")]) == "Ano ,  to kot (y)!"
+    again = planning.plan_units([(1, 2, [("a", 0.9)]), (2, 2, [("a", 0.9), ("a", 0.8)])])
+    assert again == [(1, 0, 1, 0.5, 0.5), (2, 2, 0, 1.0, 1.0)]
     with pytest.raises(ValueError):
         planning.Gates(minimum_alignment_confidence=2)
 
