@@ -465,3 +465,6 @@ def progression_steps(spark, sf):
     from ..operators import progression
 
     return progression.progressions(*progression.token_options(*_linked(docs(spark, sf))))
+
+
+from . import book_queries  # noqa: E402, F401  adds its queries
