@@ -12,12 +12,12 @@ CHAPTERS = 20
 
 
 def chapters(docs: DataFrame) -> DataFrame:
-    """book_id, chapter_index (from 1), doc_id, title, paragraphs (array). No shuffle."""
+    """book_id, chapter_index (from 1), doc_id, title (the first paragraph), paragraphs (array). No shuffle."""
     found = T.paragraphs(F.col("text"))
     rows = docs.select("doc_id", found.alias("paragraphs"))
     return rows.select(
         F.floor(F.col("doc_id") / CHAPTERS).cast("long").alias("book_id"), (F.col("doc_id") % CHAPTERS + 1).cast("int").alias("chapter_index"), "doc_id",
-        F.substring(F.coalesce(F.try_element_at("paragraphs", F.lit(1)), F.lit("")), 1, 40).alias("title"), "paragraphs",
+        F.coalesce(F.try_element_at("paragraphs", F.lit(1)), F.lit("")).alias("title"), "paragraphs",
     )
 
 

@@ -138,14 +138,15 @@ def family_weights(spark, sf):
     return spans.family_weights(rows.select(F.col("l_partkey").alias("family"), (F.col("l_returnflag") == "R").alias("functional"), F.struct("l_orderkey", "l_linenumber").alias("ord")))
 
 
-@query("""with u as (select l_orderkey as chapter, l_linenumber as unit, l_quantity as words, l_suppkey % 5 as occurrences, l_discount as before, l_discount + l_tax as after, l_returnflag as g, l_quantity * l_discount * 20 as mass from lineitem),
+@query("""with u as (select l_orderkey as chapter, l_linenumber as unit, 64 as words, l_suppkey % 5 as occurrences, round(l_discount * 100) as before, round(l_discount * 100) + round(l_tax * 100) as after, l_returnflag as g, round(l_quantity * l_discount * 100) as mass from lineitem),
 c as (select chapter, count(*) as units, case when sum(occurrences) > 0 then sum(before * occurrences) / sum(occurrences) else 0 end as before, case when sum(occurrences) > 0 then sum(after * occurrences) / sum(occurrences) else 0 end as after,
       sum(least(1, all_mass / words) * words) / sum(words) as visible, sum(all_mass) as everything from u join (select chapter, unit, sum(mass) as all_mass from u group by all) using (chapter, unit) group by chapter),
 k as (select chapter, g as granularity, sum(mass) as mass from u group by all)
 select chapter, units, before, after, visible, granularity, mass, case when everything > 0 then mass / everything else 0 end as mass_share from c join k using (chapter)""")
 def local_report(spark, sf):
     """Orders are chapters, lines are units with one selected mass of the granularity l_returnflag."""
-    rows = table(prepare(spark), sf, "lineitem").select(F.col("l_orderkey").alias("chapter"), F.col("l_linenumber").alias("unit"), F.col("l_quantity").alias("words"), (F.col("l_suppkey") % 5).alias("occurrences"), F.col("l_discount").alias("before"), (F.col("l_discount") + F.col("l_tax")).alias("after"), F.col("l_returnflag").alias("granularity"), (F.col("l_quantity") * F.col("l_discount") * 20).alias("mass"))
+    hundredths = lambda c: F.round(F.col(c) * 100)  # noqa: E731  whole numbers add up alike in any order
+    rows = table(prepare(spark), sf, "lineitem").select(F.col("l_orderkey").alias("chapter"), F.col("l_linenumber").alias("unit"), F.lit(64).alias("words"), (F.col("l_suppkey") % 5).alias("occurrences"), hundredths("l_discount").alias("before"), (hundredths("l_discount") + hundredths("l_tax")).alias("after"), F.col("l_returnflag").alias("granularity"), F.round(F.col("l_quantity") * F.col("l_discount") * 100).alias("mass"))
     return spans.local_report(rows.drop("granularity", "mass"), rows.select("chapter", "unit", "granularity", "mass"))
 
 

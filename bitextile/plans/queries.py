@@ -371,7 +371,7 @@ def tree_closure(spark, sf):
     return planning.subtrees(kept.select("sentence_id", "token", F.when(F.col("there"), F.col("head")).otherwise(F.lit(0).cast("long")).alias("head"))).select("sentence_id", "root", "size")
 
 
-@query(f"with {PARA}, g as (select doc_id, p, {SQUEEZED.format('t')} as z from para where p = 1), b as (select doc_id, unnest(list_transform(range(1, greatest(len(z) - 2, 1) + 1), lambda i: ('0x' || substr(md5(substr(z, i, 3)), 1, 8))::bigint % 128)) as k from g), c as (select doc_id, k, count(*) as n from b group by all) select doc_id, cast(k as integer) as bucket, n / sqrt(sum(n * n) over (partition by doc_id)) as weight from c")
+@query(f"with {PARA}, g as (select doc_id, p, {SQUEEZED.format('t')} as z from para), b as (select doc_id, p, unnest(list_transform(range(1, greatest(len(z) - 2, 1) + 1), lambda i: ('0x' || substr(md5(substr(z, i, 3)), 1, 8))::bigint % 128)) as k from g), c as (select doc_id, p, k, count(*) as n from b group by all) select doc_id, p as paragraph_index, cast(k as integer) as bucket, n / sqrt(sum(n * n) over (partition by doc_id, p)) as weight from c")
 def hashed_vectors(spark, sf):
     """Non-zero places of the vectors of all paragraphs. The SQL has those of first paragraphs only."""
     rows = corpus.paragraph_rows(docs(spark, sf))

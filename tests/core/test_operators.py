@@ -207,3 +207,32 @@ def test_family_schedule_is_one_greedy_of_all(spark, tmp_path):
     want = planning.schedule(sorted((x.family, x.unit - lo + 1, (x.total - x.seen_before) / every) for x in rows))
     got = queries.family_schedule(spark, str(tmp_path)).orderBy("step").collect()
     assert [(x.part, x.step, x.family, x.unit) for x in got] == [(0, *x[:3]) for x in want]
+
+
+def test_deep_trees_keep_all_ancestors(spark):
+    heads = spark.createDataFrame([(1, k, k - 1) for k in range(1, 121)], "sentence_id long, token long, head long")
+    assert {x.root: x.size for x in planning.subtrees(heads).collect()} == {k: 121 - k for k in range(1, 121)}
+
+
+def test_books_and_spans(spark):
+    from bitextile.operators import books, spans
+
+    spine = spark.createDataFrame(
+        [
+            (1, "Book", 1, "c0_x", "cover", [("h1", "Cover")], ["only one"]), (1, "Book", 2, "c1", "Book", [], ["alone"]), (1, "Book", 3, "c2", "t", [("div", "x"), ("div", "ROZDZIAŁ I"), ("h1", "later")], ["a b", ".", "c d"]),
+            (1, "Book", 4, "c3", "", [("div", "plain words")], ["Čeština, Polski", "x y"]), (1, "Book", 5, "c4", " ", [], ["e f", "Tekst jest własnością publiczną."]), (1, "Book", 6, "c5", "t", None, []),
+        ],
+        "book_id long, book_title string, spine_ordinal int, href string, title string, headings array<struct<tag:string,text:string>>, paragraphs array<string>",
+    )
+    got = sorted((x.chapter_index, x.title, x.paragraph_index, x.text) for x in books.canonical(spine).collect())
+    assert got == [(1, "ROZDZIAŁ I", 1, "a b"), (1, "ROZDZIAŁ I", 2, "c d"), (2, "Chapter 2", 1, "e f")]
+    with pytest.raises(Exception, match="FAILFAST|Malformed|without id"):
+        books.from_json(spark.createDataFrame([("{no",)], "json string")).collect()
+    items = spark.createDataFrame([(1, 5), (1, 70), (1, 200)], "k int, at int")
+    units = spark.createDataFrame([(1, 1, 1, 10), (1, 2, 60, 150)], "k int, unit int, low int, high int")
+    assert sorted((x["at"], x.unit) for x in spans.unit_of(items, units, ["k"]).collect()) == [(5, 1), (70, 2), (200, None)]
+    with pytest.raises(Exception, match="more than one unit"):
+        spans.unit_of(items, units.unionAll(units.withColumn("unit", F.col("unit") + 5)), ["k"]).collect()
+    tree = lambda text, words, upos: F.struct(F.lit(text).alias("text"), F.array(*map(F.lit, words)).alias("tokens"), F.array(*map(F.lit, words)).alias("lemmas"), F.array(*map(F.lit, upos)).alias("upos"), F.array(*map(F.lit, upos)).alias("deprel"))
+    like = spark.range(1).select(spans.subtree_similarity(tree("ab", ["a", "b"], ["N", "V"]), tree("ac", ["a"], ["N"]), F.lit(0.5)).alias("x")).first().x
+    assert abs(like - (0.24 * 0.5 + 0.18 * 0.5 + 0.18 * 0.5 + 0.15 * 0.5 + 0.10 / 3 + 0.15 * 0.5)) < 1e-9
