@@ -219,7 +219,7 @@ def test_books_and_spans(spark):
 
     spine = spark.createDataFrame(
         [
-            (1, "Book", 1, "c0_x", "cover", [("h1", "Cover")], ["only one"]), (1, "Book", 2, "c1", "Book", [], ["alone"]), (1, "Book", 3, "c2", "t", [("div", "x"), ("div", "ROZDZIAŁ I"), ("h1", "later")], ["a b", ".", "c d"]),
+            (1, "Book", 1, "c0_x", "cover", [("h1", "Cover")], ["only one"]), (1, "Book", 2, "c1", "Book", [], ["alone"]), (1, "Book", 3, "c2", "t", [("div", "x"), ("div", "ROZDZIAŁ I"), ("h1", "later")], ["a b", "x", "c d"]),
             (1, "Book", 4, "c3", "", [("div", "plain words")], ["Čeština, Polski", "x y"]), (1, "Book", 5, "c4", " ", [], ["e f", "Tekst jest własnością publiczną."]), (1, "Book", 6, "c5", "t", None, []),
         ],
         "book_id long, book_title string, spine_ordinal int, href string, title string, headings array<struct<tag:string,text:string>>, paragraphs array<string>",
