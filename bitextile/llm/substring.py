@@ -250,8 +250,9 @@ class Repeats:
         shared, n_runs = materialize(shared), firsts.agg(F.sum(F.size("runs"))).first()[0] or 0
         matched = materialize(join_counted(runs, shared, "anchor", "n", n_runs).select("doc_id", "words_sha", "owner", "spot"))
         # Each anchor brings about (WINDOW - GRAM + 1) / 2 new words, and WINDOW at the edges.
-        hot = matched.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * ((WINDOW - GRAM) // 2) > SHARD).select("owner", F.lit(True).alias("hot"))
-        listed = matched.join(hot, "owner", "left").groupBy("doc_id", "words_sha").agg(F.collect_list(F.struct("owner", "spot", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("matched"))
+        sizes = matched.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).withColumn("hot", F.col("n") * ((WINDOW - GRAM) // 2) > SHARD)
+        marked = join_counted(matched, materialize(sizes), "owner", "n", matched.count())
+        listed = marked.groupBy("doc_id", "words_sha").agg(F.collect_list(F.struct("owner", "spot", "hot")).alias("matched"))
         # A doc_id may have several texts: the word sequence tells them apart.
         joined = rows.join(listed, "doc_id")
         self.texts = materialize(joined.mapInArrow(_own, "doc_id long, words_sha string, text string, matched array<struct<owner:long,spot:int,hot:boolean>>"))
