@@ -467,4 +467,4 @@ def progression_steps(spark, sf):
     return progression.progressions(*progression.token_options(*_linked(docs(spark, sf))))
 
 
-from . import book_queries  # noqa: E402, F401  adds its queries
+from . import book_queries, policy_queries  # noqa: E402, F401  add their queries
