@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from ..session import table
+from .collocations import ORACLE as _collocations
 from .decontaminate import ORACLE as _decontaminate
+from .exactdedup import ORACLE as _exactdedup
+from .infill import ORACLE as _infill
 from .licenses import ORACLE as _licenses
 from .neardup import ORACLE as _neardup
 from .substring import ORACLE as _substring
@@ -69,5 +72,23 @@ def op10_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_brown": op1_brown, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op7_bpe": op7_bpe, "op4_neardup": op4_neardup, "op5_html": op5_html, "op6_licenses": op6_licenses, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint, "op10_packing": op10_packing}
-ORACLE: dict[str, str] = {"op3_substrings": _substring, "op4_neardup": _neardup, "op6_licenses": _licenses, "op8_decontamination": _decontaminate}
+def op11_collocations(spark, sf_dir):
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_infill(spark, sf_dir):
+    from .infill import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op13_exactdedup(spark, sf_dir):
+    from .exactdedup import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_brown": op1_brown, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op7_bpe": op7_bpe, "op4_neardup": op4_neardup, "op5_html": op5_html, "op6_licenses": op6_licenses, "op8_decontamination": op8_decontamination, "op9_fingerprint": op9_fingerprint, "op10_packing": op10_packing, "op11_collocations": op11_collocations, "op12_infill": op12_infill, "op13_exactdedup": op13_exactdedup}
+ORACLE: dict[str, str] = {"op3_substrings": _substring, "op4_neardup": _neardup, "op6_licenses": _licenses, "op8_decontamination": _decontaminate, "op11_collocations": _collocations, "op12_infill": _infill, "op13_exactdedup": _exactdedup}
