@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, prepare
-from .columns import fresh
+from .columns import fresh, whole_text
 
 #: The markers before prefix, suffix and middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -90,9 +90,9 @@ def infilled(docs: DataFrame, seed: int = 7, rate: int = 100, spm_rate: int = 50
     spark = prepare(docs.sparkSession)
     if clash := {c for c, _ in ADDED} & {c.lower() for c in docs.columns}:
         raise ValueError(f"give other names to the columns {sorted(clash)}")
-    key, salt, seeded, text = (fresh(c, docs.columns) for c in ("key", "salt", "seeded", "whole"))
-    rows = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text))
-    rows = rows.withColumn(key, F.xxhash64(text)).withColumn(seeded, F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))), 256))
+    key, salt = (fresh(c, docs.columns) for c in ("key", "salt"))
+    text, rows = whole_text(docs, docs.columns)  # a text is shuffled once
+    rows = rows.withColumn(key, F.xxhash64(F.coalesce(text, F.lit(""))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = materialize(docs.select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias(salt)))
     total = counts.agg(F.sum(salt)).first()[0] or 0
@@ -106,9 +106,11 @@ def infilled(docs: DataFrame, seed: int = 7, rate: int = 100, spm_rate: int = 50
     def run(batches):
         last, known = None, []  # texts with the key at hand: one, but for a collision of hashes
         for b in batches:
-            cols = {c: b.column(b.schema.names.index(c)) for c in (key, seeded, text)}
+            cols = {c: b.column(b.schema.names.index(c)) for c in (key, "doc_id", text)}
             out: list[tuple] = []
-            for k, h, t in zip(cols[key].to_pylist(), cols[seeded].to_pylist(), cols[text].cast(pa.binary()).to_pylist()):
+            for k, doc, t in zip(cols[key].to_pylist(), cols["doc_id"].to_pylist(), cols[text].cast(pa.binary()).to_pylist()):
+                t = t or b""
+                h = hashlib.sha256(f"{seed}:{'' if doc is None else int(doc)}".encode()).hexdigest()
                 if k != last:
                     last, known = k, []
                 ends = next((e for own, e in known if own == t), None)
