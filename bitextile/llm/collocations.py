@@ -7,9 +7,10 @@ over branches. Tries are cut into ranges of prefixes; a task merges one range of
 merged trie, and gives each phrase of least occurrences with the counts of its ancestors, that is, of all its left parts. Its
 right parts hang in other ranges: they are reached by suffix links, a join on the phrase without its first words.
 
-A word that occurs fewer than `least` times can't be in a phrase that occurs `least` times, so runs end before such
-words. Which words these may be is known from counts of hashed words, summed over the corpus: a word whose slot has fewer
-than `least` is rare for certain. A frequent or colliding word only lengthens runs; counts never depend on it.
+A word, or a pair of neighbours, that occurs fewer than `least` times can't be in a phrase that occurs `least` times, so
+runs end before such words and within such pairs. Which these may be is known from counts of hashed words, then of hashed
+pairs, summed over the corpus: what falls into a slot of fewer than `least` is rare for certain. A frequent or colliding
+one only lengthens runs; counts never depend on it.
 
 Bounds of ranges are the shortest prefixes that part two neighbours in a bounded sample. A phrase that is a proper prefix
 of a bound has its occurrences in more ranges than one: those partial counts, at most depth - 1 a bound, are added in an
@@ -77,7 +78,7 @@ class Words:
         return self.langs[self.lang[k]] + b"\n" + self.data[self.begin[k] : self.end[k]].tobytes().translate(tv.FOLD_BYTES)
 
 
-def runs(words: Words, alive: np.ndarray, depth: int, bounds: list[tuple[bytes, ...]]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+def runs(words: Words, alive: np.ndarray, goes_on: np.ndarray, depth: int, bounds: list[tuple[bytes, ...]]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
     """Sorted entries (from 1; 0: the run has ended), columns of the sorted distinct runs, and their counts."""
     code = np.zeros(len(words.hash), np.int64)
     at = np.flatnonzero(alive)
@@ -89,7 +90,7 @@ def runs(words: Words, alive: np.ndarray, depth: int, bounds: list[tuple[bytes,
     number = {w: k + 1 for k, w in enumerate(vocab)}
     ids = np.array([number[w] for w in own], np.int64)
     code[at] = ids[code[at]] if len(at) else 0
-    goes_on, n = alive & ~words.first, len(code)
+    n = len(code)
     cols, reach = [code[at]], np.ones(len(at), bool)
     for j in range(1, depth):
         nxt = np.minimum(at + j, max(n - 1, 0))
@@ -200,51 +201,88 @@ def walk(vocab: list[bytes], cols: list[np.ndarray], counts: np.ndarray, least:
     return out
 
 
-def _slot_counts(docs: DataFrame, bits: int, parts: int, least: int) -> tuple[DataFrame, np.ndarray]:
-    """Words a language (lang, n), and whether each slot of hashed words has `least` words or more."""
-    width = -(-(1 << bits) // parts)
+class Slots:
+    """One bit for each slot of hashed words or pairs: whether `least` of them or more fell there."""
+
+    def __init__(self, bits: int, packed: np.ndarray):
+        self.bits, self.packed = bits, packed
+
+    @staticmethod
+    def of(hashes: np.ndarray, bits: int) -> np.ndarray:
+        return (hashes >> tv.U(64 - bits)).astype(np.int64)
+
+    def frequent(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.of(hashes, self.bits)
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _pairs(hashes: np.ndarray) -> np.ndarray:
+    """Of each word with the one before it; the first has none."""
+    before = np.roll(hashes, 1)
+    return tv.mix(before * tv.U(0x9E3779B97F4A7C15) + hashes)
+
+
+def _reach(words: Words, slots: list[Slots]) -> tuple[np.ndarray, np.ndarray]:
+    """Which words may be frequent, and which of them may go on a run of the word before."""
+    alive = slots[0].frequent(words.hash) if slots else np.ones(len(words.hash), bool)
+    goes_on = alive & ~words.first
+    goes_on[1:] &= alive[:-1]
+    goes_on[:1] = False
+    if len(slots) > 1:
+        at = np.flatnonzero(goes_on)
+        goes_on[at] = slots[1].frequent(_pairs(words.hash)[at])
+    return alive, goes_on
+
+
+def _slots(docs: DataFrame, bits: int, parts: int, least: int, known: list[Slots]) -> tuple[Slots, DataFrame]:
+    """Slots of words (none known) or of pairs of words, and, of words, how many each language has (lang, n): partial counts
+    of slices meet in ranges of slots."""
+    width = -(-(1 << bits) // parts // 8) * 8
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches):
         for b in batches:
             for lo, hi in slices(b.column(1), SHARD_BYTES):
                 part = b.slice(lo, hi - lo)
                 words = Words(part.column(1), part.column(0))
-                slots, counts = np.unique((words.hash >> tv.U(64 - bits)).astype(np.int64), return_counts=True)
+                hashes = _pairs(words.hash)[_reach(words, shared.value)[1]] if shared.value else words.hash
+                slots, counts = np.unique(Slots.of(hashes, bits), return_counts=True)
                 cuts = np.searchsorted(slots, np.arange(0, parts + 1) * width)
                 rows = [(k, (slots[x:y] - k * width).astype(np.uint32).tobytes(), np.minimum(counts[x:y], least).astype(np.uint32).tobytes(), None, None) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if x < y]
-                rows += [(None, None, None, words.langs[k].decode(), int(n)) for k, n in enumerate(np.bincount(words.lang, minlength=len(words.langs)).tolist()) if n]
+                if not shared.value:
+                    each = np.bincount(words.lang, minlength=len(words.langs)).tolist()
+                    rows += [(int(words.hash[0] % tv.U(parts)), None, None, words.langs[k].decode(), int(n)) for k, n in enumerate(each) if n]
                 yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("part", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary()), ("lang", pa.string()), ("n", pa.int64())))})
 
     def add(batches):
-        sums, last = np.zeros(width, np.int64), None
+        sums, last, langs = np.zeros(width, np.int64), None, {}
 
         def done():
-            return pa.RecordBatch.from_pydict({"part": pa.array([last], pa.int32()), "bits": pa.array([np.packbits(sums >= least).tobytes()], pa.binary())})
+            rows = [(last, np.packbits(sums >= least, bitorder="little").tobytes(), None, None), *((None, None, k, n) for k, n in langs.items())]
+            return pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("part", pa.int32()), ("bits", pa.binary()), ("lang", pa.string()), ("n", pa.int64())))})
 
         for b in batches:
-            for k, slots, counts in zip(*(b.column(c).to_pylist() for c in range(3))):
+            for k, slots, counts, lang, n in zip(*(b.column(c).to_pylist() for c in range(5))):
                 if k != last:
                     if last is not None:
                         yield done()
-                    sums, last = np.zeros(width, np.int64), k
-                sums[np.frombuffer(slots, np.uint32)] += np.frombuffer(counts, np.uint32)
+                    sums, last, langs = np.zeros(width, np.int64), k, {}
+                if slots is None:
+                    langs[lang] = langs.get(lang, 0) + n
+                else:
+                    sums[np.frombuffer(slots, np.uint32)] += np.frombuffer(counts, np.uint32)
         if last is not None:
             yield done()
 
-    each = materialize(docs.mapInArrow(count, "part int, slots binary, counts binary, lang string, n long"))
-    totals = each.where("part is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    merged = each.where("part is not null").select("part", "slots", "counts").repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(add, "part int, bits binary")
-    frequent = np.zeros(width * parts, bool)
-    for row in merged.collect():  # one bit a slot
-        frequent[row["part"] * width : (row["part"] + 1) * width] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=width)
-    return totals, frequent[: 1 << bits]
-
-
-def _alive(words: Words, frequent: np.ndarray, bits: int) -> np.ndarray:
-    return frequent[(words.hash >> tv.U(64 - bits)).astype(np.int64)]
+    each = docs.mapInArrow(count, "part int, slots binary, counts binary, lang string, n long").repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+    merged = materialize(each.mapInArrow(add, "part int, bits binary, lang string, n long"))
+    packed = np.zeros(width * parts // 8, np.uint8)
+    for row in merged.where("part is not null").select("part", "bits").collect():  # one bit a slot
+        packed[row["part"] * width // 8 : (row["part"] + 1) * width // 8] = np.frombuffer(row["bits"], np.uint8)
+    return Slots(bits, packed), merged.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def _bounds(docs: DataFrame, total: int, ranges: int, frequent: np.ndarray, bits: int, depth: int) -> list[tuple[bytes, ...]]:
+def _bounds(docs: DataFrame, total: int, ranges: int, slots: list[Slots], depth: int) -> list[tuple[bytes, ...]]:
     """Prefixes at which ranges begin, from stretches of texts of ranges * SAMPLE_BYTES altogether, about."""
     stretch = 4_000
     place = (F.pmod(F.xxhash64("text", F.lit(6)), F.greatest(F.length("text") - stretch, F.lit(1)))).cast("int") + 1
@@ -255,7 +293,7 @@ def _bounds(docs: DataFrame, total: int, ranges: int, frequent: np.ndarray, bits
     if not len(drawn):
         return []
     words = Words(drawn.column("text").combine_chunks(), drawn.column("lang").combine_chunks())
-    vocab, cols, counts = runs(words, _alive(words, frequent, bits), depth, [])
+    vocab, cols, counts = runs(words, *_reach(words, slots), depth, [])
     shared, out = _shared(cols), set()
     for cut in (np.arange(1, ranges) * len(counts) // ranges).tolist() if len(counts) >= ranges else []:
         if cut:
@@ -275,17 +313,18 @@ def counted(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, ranges: int
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_BYTES + 1)
     ranges = ranges or parts
     bits = min(MOST_SLOTS, max(LEAST_SLOTS, int(total // 6 // SLOT_WORDS).bit_length()))
-    totals, frequent = _slot_counts(rows, bits, parts, least)
-    bounds = _bounds(rows, total, ranges, frequent, bits, depth)
-    shared = spark.sparkContext.broadcast((frequent, bounds))
+    slots, totals = _slots(rows, bits, parts, least, [])
+    slots = [slots, _slots(rows, bits, parts, least, [slots])[0]]
+    bounds = _bounds(rows, total, ranges, slots, depth)
+    shared = spark.sparkContext.broadcast((slots, bounds))
 
     def tries(batches):
-        frequent, bounds = shared.value
+        slots, bounds = shared.value
         for b in batches:
             for lo, hi in slices(b.column(1), SHARD_BYTES):
                 part = b.slice(lo, hi - lo)
                 words = Words(part.column(1), part.column(0))
-                vocab, cols, counts = runs(words, _alive(words, frequent, bits), depth, bounds)
+                vocab, cols, counts = runs(words, *_reach(words, slots), depth, bounds)
                 number = {w: k + 1 for k, w in enumerate(vocab)}
                 cuts = [0, *(span(cols, [number[w] for w in p])[0] for p in bounds), len(counts)]
                 out = [(k, *pack(vocab, [c[x:y] for c in cols], counts[x:y])) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if x < y]

@@ -67,7 +67,7 @@ def test_phrases_equal_plain_counts(spark, monkeypatch, ranges, least, depth, sh
 def test_ranges_split_a_common_word(spark):
     bounds = [(b"en\nof",), (b"en\nof", b"en\nthe"), (b"en\nof", b"en\nthe", b"en\nof"), (b"en\nthe",)]
     words = collocations.Words(*(__import__("pyarrow").array(x) for x in (["of the of the. of a b of the of"], ["en"])))
-    vocab, cols, counts = collocations.runs(words, np.ones(len(words.hash), bool), 4, bounds)
+    vocab, cols, counts = collocations.runs(words, *collocations._reach(words, []), 4, bounds)
     back = collocations.unpack(*collocations.pack(vocab, cols, counts), 4)
     used = collocations.pack(vocab, cols, counts)[0]
     assert [[used[x - 1] if x else b"" for x in c.tolist()] for c in back[0]] == [[vocab[x - 1] if x else b"" for x in c.tolist()] for c in cols] and back[1].tolist() == counts.tolist()
