@@ -27,8 +27,8 @@ FALLBACK, MOST, BONUS = 0.72, 0.99, (0.08, 0.04, 0.08)
 #: Relations of links that no analysis stands behind, the strongest first.
 WEAK = ["embedding_assisted", "dictionary", "manual_forced"]
 
-_LINK = "array<struct<source:int,target:int,source_text:string,target_text:string,source_lemma:string,target_lemma:string,relation:string,score:double,source_upos:string,target_upos:string,source_deprel:string,target_deprel:string>>"
-_SPAN = "array<struct<source_start:int,source_end:int,target_start:int,target_end:int,words:int,score:double,relation:string,source_root:int,target_root:int,children:int,source_text:string,target_text:string>>"
+_LINK = "array<struct<source:int,target:int,source_text:string,target_text:string,source_lemma:string,target_lemma:string,relation:string,score:double,source_upos:string,target_upos:string,source_deprel:string,target_deprel:string,norm:double>>"
+_SPAN = "array<struct<source_start:int,source_end:int,target_start:int,target_end:int,words:int,score:double,relation:string,source_root:int,target_root:int,children:int,source_text:string,target_text:string,lemma:double,upos:double,deprel:double,embedding:double>>"
 
 Analyser = Callable[[Column, str], Column]
 Encoder = Callable[[Column], Column]
@@ -74,17 +74,25 @@ def nodes(tokens: Column, encoder: Encoder | None = None) -> Column:
     def with_paths(ws):
         at = F.transform(ws, lambda x: x["index"])
         rooted = F.exists(ws, lambda x: F.coalesce(x["head"] == 0, F.lit(False)))
-        parent = lambda x: F.when(x["head"] == 0, 0).when(~rooted & (x["index"] == at[0]), 0).otherwise(x["head"])
-        up = F.map_from_arrays(at, F.transform(ws, parent))
 
-        def path(x):
-            def step(p, _):
-                above = F.coalesce(F.try_element_at(up, F.element_at(p, -1)), F.lit(0))
-                return F.when((above <= 0) | F.array_contains(p, above) | ~F.array_contains(at, above), p).otherwise(F.concat(p, F.array(above)))
+        def hung(y):
+            parent = lambda x: F.when(x["head"] == 0, 0).when(~y["rooted"] & (x["index"] == y["at"][0]), 0).otherwise(x["head"])
+            # Places of parents among the words, so that a step up is a look at one place.
+            places = F.transform(ws, lambda x: F.coalesce(F.array_position(y["at"], parent(x)), F.lit(0)).cast("int"))
 
-            return F.aggregate(at, F.array(x["index"]), step)
+            def paths(above):
+                def path(k):
+                    def step(p, _):
+                        up = F.element_at(above, F.element_at(p, -1))
+                        return F.when((up == 0) | F.array_contains(p, up), p).otherwise(F.concat(p, F.array(up)))
 
-        return F.transform(ws, lambda x: F.struct(x.alias("own"), parent(x).cast("int").alias("parent"), path(x).alias("path")))
+                    return F.aggregate(above, F.array(k), step)
+
+                return F.transform(ws, lambda x, k: F.struct(x.alias("own"), parent(x).cast("int").alias("parent"), (k + 1).cast("int").alias("place"), path((k + 1).cast("int")).alias("path")))
+
+            return T.let(places, paths)
+
+        return T.let(F.struct(at.alias("at"), rooted.alias("rooted")), hung)
 
     def featured(ps):
         def node(p):
@@ -95,7 +103,7 @@ def nodes(tokens: Column, encoder: Encoder | None = None) -> Column:
                 parts += [F.size(below).alias("size"), text.alias("text"), some("lemma").alias("lemmas"), some("upos").alias("upos"), some("deprel").alias("deprels"), _letters(text).alias("letters"), _letters(p["own"]["normalized"]).alias("own_letters")]
                 return F.struct(*parts, *([encoder(text).alias("vector")] if encoder else []))
 
-            return T.let(F.transform(F.filter(ps, lambda q: F.array_contains(q["path"], p["own"]["index"])), lambda q: q["own"]), of)
+            return T.let(F.transform(F.filter(ps, lambda q: F.array_contains(q["path"], p["place"])), lambda q: q["own"]), of)
 
         return F.array_sort(F.transform(ps, node), lambda x, y: F.when(x["depth"] != y["depth"], x["depth"] - y["depth"]).otherwise(x["index"] - y["index"]).cast("int"))
 
@@ -117,8 +125,12 @@ def _same(a: Column, b: Column) -> Column:
     return F.coalesce(a == b, F.lit(False)) & (F.coalesce(F.length(a), F.lit(0)) > 0)
 
 
+def _norm(s: Column, t: Column) -> Column:
+    return F.when(_same(s["own"]["normalized"], t["own"]["normalized"]), 1.0).otherwise(_overlap(s["own_letters"], t["own_letters"]))
+
+
 def node_score(s: Column, t: Column) -> Column:
-    norm = F.when(_same(s["own"]["normalized"], t["own"]["normalized"]), 1.0).otherwise(_overlap(s["own_letters"], t["own_letters"]))
+    norm = _norm(s, t)
     lexical = F.when(_same(s["own"]["lemma"], t["own"]["lemma"]), 1.0).otherwise(norm)
     return 0.44 * lexical + 0.26 * _same(s["own"]["upos"], t["own"]["upos"]).cast("double") + 0.20 * _same(s["own"]["deprel"], t["own"]["deprel"]).cast("double") + 0.10 * norm
 
@@ -160,29 +172,32 @@ def _node(of: Column, index: Column) -> Column:
     return F.element_at(F.filter(of, lambda n: n["index"] == index), 1)
 
 
-def _link(s: Column, t: Column, relation: Column, score: Column) -> Column:
+def _link(s: Column, t: Column, relation: Column, score: Column, norm: Column | None = None) -> Column:
     return F.struct(
         s["index"].alias("source"), t["index"].alias("target"), s["text"].alias("source_text"), t["text"].alias("target_text"), s["lemma"].alias("source_lemma"), t["lemma"].alias("target_lemma"),
         relation.alias("relation"), F.round(score, 6).alias("score"), s["upos"].alias("source_upos"), t["upos"].alias("target_upos"), s["deprel"].alias("source_deprel"), t["deprel"].alias("target_deprel"),
+        F.round(F.lit(0.0) if norm is None else norm, 6).alias("norm"),
     )
 
 
-def _span(s: Column, t: Column, score: Column, relation: str, children: Column) -> Column:
+def _span(s: Column, t: Column, score: Column, relation: str, children: Column, vectors: bool) -> Column:
+    signals = [F.round(_overlap(s[a], t[a]), 6).alias(b) for a, b in (("lemmas", "lemma"), ("upos", "upos"), ("deprels", "deprel"))] if relation != "tree_walk" else [F.lit(None).cast("double").alias(b) for b in ("lemma", "upos", "deprel")]
+    near = F.lit(None).cast("double") if relation == "tree_walk" else F.round(T.dot(s["vector"], t["vector"]), 6) if vectors else F.lit(0.0)
     return F.struct(
         s["first"].alias("source_start"), s["last"].alias("source_end"), t["first"].alias("target_start"), t["last"].alias("target_end"), F.least(s["size"], t["size"]).alias("words"), F.round(score, 6).alias("score"), F.lit(relation).alias("relation"),
-        s["index"].alias("source_root"), t["index"].alias("target_root"), children.cast("int").alias("children"), s["text"].alias("source_text"), t["text"].alias("target_text"),
+        s["index"].alias("source_root"), t["index"].alias("target_root"), children.cast("int").alias("children"), s["text"].alias("source_text"), t["text"].alias("target_text"), *signals, near.alias("embedding"),
     )
 
 
-def _tree_results(source: Column, target: Column, found: Column) -> Column:
+def _tree_results(source: Column, target: Column, found: Column, vectors: bool) -> Column:
     """struct<links, phrases, dependencies, subtrees> of a walk."""
     rows = F.transform(found, lambda m: F.struct(m.alias("m"), _node(source, m["s"]).alias("s"), _node(target, m["t"]).alias("t"), F.size(F.filter(found, lambda x: x["p"] == m["s"])).alias("children")))
 
     def of(rs):
         relation = lambda s, t: F.when(_same(s["normalized"], t["normalized"]), "exact").when(_same(s["lemma"], t["lemma"]), "lemma_like").when(_same(s["upos"], t["upos"]), "upos_cognate").otherwise("cognate")
-        links = F.transform(F.filter(rs, lambda r: r["m"]["node"] >= WORD), lambda r: _link(r["s"]["own"], r["t"]["own"], relation(r["s"]["own"], r["t"]["own"]), r["m"]["node"]))
+        links = F.transform(F.filter(rs, lambda r: r["m"]["node"] >= WORD), lambda r: _link(r["s"]["own"], r["t"]["own"], relation(r["s"]["own"], r["t"]["own"]), r["m"]["node"], _norm(r["s"], r["t"])))
         phrase = lambda r: (r["children"] > 0) | ((r["m"]["node"] >= PHRASE) & (r["s"]["size"] > 1) & (r["t"]["size"] > 1))
-        spans = lambda keep, name: F.transform(F.filter(rs, keep), lambda r: _span(r["s"], r["t"], r["m"]["score"], name, r["children"])).cast(_SPAN)
+        spans = lambda keep, name: F.transform(F.filter(rs, keep), lambda r: _span(r["s"], r["t"], r["m"]["score"], name, r["children"], vectors)).cast(_SPAN)
         return F.struct(
             F.array_sort(links, lambda x, y: (x["source"] - y["source"]).cast("int")).cast(_LINK).alias("links"), spans(phrase, "tree_phrase").alias("phrases"),
             spans(lambda r: r["m"]["node"] >= WORD, "tree_dependency").alias("dependencies"), spans(lambda r: r["m"]["p"] == 0, "tree_walk").alias("subtrees"),
@@ -280,6 +295,7 @@ def _run_spans(found: Column, weak: bool) -> Column:
         return F.struct(
             a["source"].alias("source_start"), e["source"].alias("source_end"), a["target"].alias("target_start"), e["target"].alias("target_end"), F.size(run).alias("words"), score.alias("score"), relation.alias("relation"),
             a["source"].alias("source_root"), a["target"].alias("target_root"), F.lit(0).alias("children"), text("source_text").alias("source_text"), text("target_text").alias("target_text"),
+            *[F.lit(None).cast("double").alias(c) for c in ("lemma", "upos", "deprel", "embedding")],
         )
 
     kept = F.filter(found, lambda r: (F.size(r) >= 2) & (F.exists(r, lambda x: x["relation"].isin(*WEAK)) if weak else F.lit(True)))
@@ -303,7 +319,7 @@ def enriched(links: DataFrame, analyse: Analyser = analysed, encoder: Encoder |
     a, b = F.col("source_tokens"), F.col("target_tokens")
     trees = F.exists(_words(a), lambda x: x["head"].isNotNull()) & F.exists(_words(b), lambda x: x["head"].isNotNull())
     rows = rows.withColumns({"_s": F.when(safe & trees, nodes(a, encoder)), "_t": F.when(safe & trees, nodes(b, encoder))})
-    rows = rows.withColumn("_tree", F.when(F.col("_s").isNotNull(), _tree_results(F.col("_s"), F.col("_t"), walk(F.col("_s"), F.col("_t"), encoder is not None))))
+    rows = rows.withColumn("_tree", F.when(F.col("_s").isNotNull(), _tree_results(F.col("_s"), F.col("_t"), walk(F.col("_s"), F.col("_t"), encoder is not None), encoder is not None)))
     none, no_span = F.array().cast(_LINK), F.array().cast(_SPAN)
     first = F.when(safe, F.coalesce(F.col("_tree.links"), plain_links(a, b))).otherwise(none)
     rows = rows.withColumn("_first", first).withColumn("links", F.when(safe, completed(a, b, F.col("_first"), encoder)).otherwise(none)).withColumn("_runs", runs(F.col("links")))

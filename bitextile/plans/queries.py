@@ -330,15 +330,6 @@ def family_schedule(spark, sf):
     return planning.schedules(timeline.timeline(_occurrences(spark, sf)))
 
 
-@query()
-def unit_plans(spark, sf):
-    from ..operators import planning
-
-    d = docs(spark, sf)
-    words = corpus.doc_pairs(d).where(F.size("b") > 0).select("pair_id", F.posexplode("a").alias("k", "t")).select("pair_id", (F.col("k") + 1).alias("source_paragraph"), F.size(F.filter(T.tokens(F.col("t")), lambda x: x.rlike(r"\p{L}"))).alias("words"))
-    return planning.unit_plans(*_linked(d), words)
-
-
 @query()
 def hybrid_sentences(spark, sf):
     from ..operators import planning
@@ -467,4 +458,4 @@ def progression_steps(spark, sf):
     return progression.progressions(*progression.token_options(*_linked(docs(spark, sf))))
 
 
-from . import book_queries, policy_queries  # noqa: E402, F401  add their queries
+from . import book_queries, planner_queries, policy_queries  # noqa: E402, F401  add their queries
