@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, enrichment, planner, sequence
+from ..operators import candidates, enrichment, planner, schedule, sequence
 from ..session import materialize
 from .queries import docs, query
 
@@ -65,3 +65,14 @@ def unit_plans(spark, sf):
 def unit_plans_boosted(spark, sf):
     """Plans for simple words so far, with late chapters brought up to their own target."""
     return planner.plans(_units(spark, sf), _BOOK, "cumulative-simple", boost=1.0)
+
+
+@query()
+def book_schedules(spark, sf):
+    """A schedule of the families of each book, and plans that keep to it."""
+    rows, units = _planned(spark, sf)
+    line = candidates.lemma_timeline(units, _BOOK, "families").select("book_id", F.col("name").alias("family"), F.col("unit_index").cast("int").alias("unit"), "gain")
+    planned = materialize(schedule.group_schedules(line, _BOOK))
+    ready = planner.book_units(materialize(candidates.described(rows, units, _BOOK)), units, _BOOK, "pair_id")
+    plans = planner.plans(ready, _BOOK, "reader-visible-late", schedule=planned.select("book_id", "family", F.col("unit").alias("intro")))
+    return plans.join(planned.groupBy("book_id").agg(F.count(F.lit(1)).alias("scheduled_families"), F.min("error_after").alias("schedule_error")), "book_id", "left")

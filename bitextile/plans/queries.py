@@ -325,9 +325,19 @@ def policy_gates(spark, sf):
 
 @query()
 def family_schedule(spark, sf):
-    from ..operators import planning
+    """All families as one book, with a late-fill phase: options stay distributed."""
+    from ..operators import schedule
+
+    options = schedule.options_of(timeline.timeline(_occurrences(spark, sf)))
+    return schedule.scheduled(options, late_steps=50, late=1.0)
+
+
+@query()
+def family_schedule_report(spark, sf):
+    from ..operators import schedule
 
-    return planning.schedules(timeline.timeline(_occurrences(spark, sf)))
+    options = materialize(schedule.options_of(timeline.timeline(_occurrences(spark, sf))))
+    return schedule.report(schedule.scheduled(options), options)
 
 
 @query()

@@ -89,13 +89,6 @@ def test_running_totals(spark):
     assert sorted(tuple(x)[1:] for x in runs.collect()) == [(1, 3, 3), (7, 8, 2), (10, 10, 1)]
 
 
-def test_schedule_follows_the_curve():
-    found = planning.schedule([("rare", 2, 0.2), ("common", 1, 0.6), ("common", 3, 0.3)], early=3.0)
-    assert {f for _, f, _, _, _ in found} <= {"rare", "common"} and len({f for _, f, _, _, _ in found}) == len(found)
-    errors = [x[4] for x in found]
-    assert errors == sorted(errors, reverse=True) and planning.schedule([]) == []
-
-
 def test_word_links_equal_a_plain_search():
     from bitextile.functions import plain as P
 
@@ -185,26 +178,6 @@ def test_quality_judges_all_gates(spark):
     assert not (y.source_token_match_pass or y.target_token_match_pass or y.phrase_row_pass)
 
 
-def test_schedule_has_no_limit_of_its_own():
-    families = [(f"f{k:04}", 1 + k % 7, 1.0 + k % 3) for k in range(1200)]
-    found = planning.schedule(families, power=0.01)
-    assert len(found) > 1000 and found == planning.schedule(families, power=0.01, steps=1200)
-    assert len(planning.schedule(families, power=0.01, steps=5)) == 5
-
-
-def test_family_schedule_is_one_greedy_of_all(spark, tmp_path):
-    from bitextile.plans import queries
-
-    r = random.Random(4)
-    events = [(k, f"user{r.randrange(40):02}", f"2024-01-{r.randrange(1, 20):02}") for k in range(600)]
-    spark.createDataFrame(events, "event_id long, user_id string, ts string").write.parquet(f"{tmp_path}/events.parquet")
-    rows = timeline.timeline(queries._occurrences(spark, str(tmp_path))).collect()
-    lo, every = min(x.unit for x in rows), sum(x.n for x in rows)
-    want = planning.schedule(sorted((x.family, x.unit - lo + 1, (x.total - x.seen_before) / every) for x in rows))
-    got = queries.family_schedule(spark, str(tmp_path)).orderBy("step").collect()
-    assert [(x.part, x.step, x.family, x.unit) for x in got] == [(0, *x[:3]) for x in want]
-
-
 def test_deep_trees_keep_all_ancestors(spark):
     heads = spark.createDataFrame([(1, k, k - 1) for k in range(1, 121)], "sentence_id long, token long, head long")
     assert {x.root: x.size for x in planning.subtrees(heads).collect()} == {k: 121 - k for k in range(1, 121)}
