@@ -5,11 +5,14 @@ belong to their block). Each node has features of its tag, its depth, its subtre
 its siblings, its ancestors and its attribute tokens: TOKENS hashed buckets of words of class, id, role and itemprop,
 each with the log-odds of main text that the training pages show for it; boosted trees give the log-odds that its text is main text. Labels are decoded for the
 whole tree at once: a node is outside (its children may begin main text), inside, or excluded with all below it, and
-the consistent labelling with the largest sum of log-odds is kept, so no descendant contradicts an ancestor. What is
+the consistent labelling with the largest sum of log-odds is kept, so no descendant contradicts an ancestor. What it
+costs to begin main text at a node is learned on pages that neither tokens nor trees have seen. What is
 never text (scripts, styles, comments, markup, form controls) is dropped by the parser.
 
 The trees are trained when first used on PAGES pages with known labels, made here by rule in many layouts: navigation,
-adverts, sidebars, notices, forms, comments and footers around and inside articles, with telling or bare attributes.
+adverts, sidebars, notices, forms, comments and footers around and inside articles, with telling or bare attributes, or
+nothing around them; articles of one line or many, with headings of one word, short lists, tables, figures, line breaks
+for paragraphs, in landmarks, in plain boxes, or straight in the body.
 
 Text of a block: character references decoded, white space made one space (a line break too), trimmed; blocks in page
 order are joined by a line feed. Defined results: null, empty and text-free pages have the empty text. Unclosed and
@@ -31,9 +34,9 @@ from pyspark.sql import functions as F
 from ..session import prepare
 from .fingerprint import slices
 
-PAGES, TREES, DEPTH, BINS, STEP, TOKENS = 500, 60, 4, 32, 0.2, 4096
-#: What it costs, in weighted log-odds, to begin main text at a node: scattered small blocks don't pay.
-BEGIN = 12.0
+PAGES, TREES, DEPTH, BINS, STEP, TOKENS = 600, 60, 5, 32, 0.25, 4096
+#: What it may cost, in weighted log-odds, to begin main text at a node; which of these is learned.
+BEGINNINGS = (0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0)
 
 # Element names by their role in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label".split())
@@ -214,7 +217,7 @@ class Page:
         flush()
 
 
-NAMES = ["depth", "text", "own", "nodes", "density", "link_share", "own_links", "stops", "place", "siblings", "of_parent", "of_page", "best_token", "worst_token", "up_best", "up_worst", "before", "after", "parent_kind", "paragraphs", *(f"is{k}" for k in range(len(KINDS))), *(f"under{k}" for k in range(len(KINDS)))]
+NAMES = ["depth", "text", "own", "nodes", "density", "link_share", "own_links", "stops", "place", "siblings", "of_parent", "of_page", "best_token", "worst_token", "up_best", "up_worst", "before", "after", "parent_kind", "paragraphs", "parent_links", "parent_stops", "parent_text", "parent_paragraphs", "of_unlinked", "rest_links", *(f"is{k}" for k in range(len(KINDS))), *(f"under{k}" for k in range(len(KINDS)))]
 
 
 def features(p: Page, odds: np.ndarray) -> np.ndarray:
@@ -266,6 +269,7 @@ def features(p: Page, odds: np.ndarray) -> np.ndarray:
     cols = [
         depth, np.log1p(text), np.log1p(own), np.log1p(nodes), np.log1p(text / nodes), np.minimum(link / np.maximum(text, 1), 2), np.minimum(links / np.maximum(own, 1), 2), stop / np.maximum(text, 1),
         place / np.maximum(siblings, 1), np.log1p(siblings), of_parent, text / max(text[0], 1), best, worst, up_best, up_worst, np.log1p(before), np.log1p(after), np.where(parent >= 0, kind[parent], -1), np.log1p(par),
+        (link / np.maximum(text, 1))[parent], (stop / np.maximum(text, 1))[parent], np.log1p(text)[parent], np.log1p(par)[parent], np.maximum(text - link, 0) / max(text[0] - link[0], 1), (link[0] - link) / np.maximum(text[0] - text, 1),
     ]
     return np.concatenate([np.stack(cols, 1), one, under], 1).astype(np.float32)
 
@@ -349,16 +353,48 @@ def _made(rng) -> tuple[str, set[str]]:
         serial[0] += 1
         return "<ul>" + "".join(f'<li><a href="/{k}">{f'gone{serial[0]}x ' if chance(0.3) else ''}{sentence(rng.integers(1, 4)) if chance(0.4) else words(rng.integers(1, 4))}</a></li>' for k in range(int(n))) + "</ul>"
 
-    small = lambda: prose(False, pick("p", "p", "span", "h3"), int(rng.integers(1, 3)))
+    small = lambda: listed(False) if chance(0.08) else grid(False) if chance(0.03) else bit(False, pick("p", "div", "h4"), 4) if chance(0.12) else prose(False, pick("p", "p", "span", "h3"), int(rng.integers(1, 3)))
     advert = lambda: f'<div class="{pick("ad", "ads", "advert", "banner", "promo", "sponsored")}">' + (small() if chance(0.6) else f"gone0x {sentence(rng.integers(2, 14))}") + "</div>"
 
+    def bit(main, tag, most=2):
+        """A block of one word, or few."""
+        serial[0] += 1
+        more = int(rng.integers(0, most))
+        mark = f"{'kept' if main else 'gone'}{serial[0]}x"
+        mark = mark.replace("x", "") if chance(0.3) else mark
+        return f"<{tag}>{mark}{' ' + words(more) if more else ''}</{tag}>"
+
+    def listed(main):
+        kind = pick("ul", "ul", "ol", "dl")
+        if kind == "dl":
+            return "<dl>" + "".join(bit(main, "dt") + bit(main, "dd", 5) for _ in range(int(rng.integers(1, 5)))) + "</dl>"
+        most = pick(1, 2, 4)
+        return f"<{kind}>" + "".join(bit(main, "li", most + 1) for _ in range(int(rng.integers(2, 9)))) + f"</{kind}>"
+
+    def grid(main):
+        wide = int(rng.integers(1, 5))
+        row = lambda tag: "<tr>" + "".join(bit(main, tag) for _ in range(wide)) + "</tr>"
+        inside = "".join(row("td") for _ in range(int(rng.integers(1, 6))))
+        return "<table>" + (f"<thead>{row('th')}</thead><tbody>{inside}</tbody>" if chance(0.3) else (row("th") if chance(0.5) else "") + inside) + "</table>"
+
+    def broken():
+        """Paragraphs parted by line breaks: one block."""
+        serial[0] += 1
+        return f"kept{serial[0]}x " + pick("<br>", "<br><br>", "<br/>").join(" ".join(sentence(rng.integers(3, 18)) for _ in range(int(rng.integers(1, 5)))) for _ in range(int(rng.integers(1, 7))))
+
     def article():
-        out = [prose(True, "h1", 1)] if chance(0.85) else []
+        out = []
+        if chance(0.85):
+            out.append(bit(True, "h1", pick(1, 2, 5)) if chance(0.5) else prose(True, "h1", 1))
         if chance(0.2):
             out.append(box("div", ("meta", "share", "social"), links(3) if chance(0.5) else small()))
-        for _ in range(int(rng.integers(1, 14))):
+        if chance(0.12):
+            return "".join([*out, broken() if chance(0.5) else f"<div>{broken()}</div>"])
+        for k in range(int(rng.integers(1, 14)) if chance(0.65) else int(rng.integers(1, 4))):
             r = rng.random()
-            if r < 0.78:
+            if k and r < 0.32:
+                out.append(pick(listed, listed, grid)(True) if chance(0.6) else pick(lambda: bit(True, pick("h2", "h3", "h4"), 3), lambda: f"<figure><img src=x>{bit(True, 'figcaption', 8)}</figure>", lambda: f"<blockquote>{bit(True, 'p', 6)}</blockquote>", lambda: bit(True, "pre", 4), lambda: bit(True, "p", 4))())
+            elif r < 0.78:
                 out.append(prose(True))
             elif r < 0.84:
                 out.append(prose(True, pick("h2", "h3")))
@@ -381,8 +417,15 @@ def _made(rng) -> tuple[str, set[str]]:
     if chance(0.25):
         top.append(box("div", ("cookie-notice", "notice", "consent", "alert"), small()))
     text = article()
+    if chance(0.12):  # nothing around it
+        alone = pick("", "", "article", "main", "div")
+        text = broken() if not alone and chance(0.25) else text
+        text = f"<{alone}>{text}</{alone}>" if alone else text
+        return text if chance(0.4) else f"<html><head><title>x</title></head><body>{text}</body></html>"
     inner = comments() if chance(0.08) else ""
-    core = f"<article>{text}{inner}</article>" if chance(0.6) else box(pick("main", "div", "section", "div"), ("content", "post", "entry-content", "article-body", "main", "story"), text + inner)
+    if chance(0.15):
+        text = re.sub(r"<(/?)p>", r"<\1div>", text)
+    core = text + inner if chance(0.18) else f"<article>{text}{inner}</article>" if chance(0.6) else box(pick("main", "div", "section", "div"), ("content", "post", "entry-content", "article-body", "main", "story"), text + inner)
     if chance(0.2):
         core = box("div", ("container", "wrapper", "row"), core)
     bottom = []
@@ -401,11 +444,13 @@ def _made(rng) -> tuple[str, set[str]]:
 
 
 class Extractor:
-    """The attribute tokens' log-odds and the trees, from pages (source, whose main blocks begin with "kept"). Tokens are
-    learned on the even pages, trees on the odd ones, so that trees see what tokens are worth on other pages."""
+    """The attribute tokens' log-odds, the trees and the cost of a beginning, from pages (source, whose main blocks begin
+    with "kept"). Tokens are learned on the even pages, trees on the odd ones, so that trees see what tokens are worth on
+    other pages; the cost on a fifth of the pages that both leave out."""
 
     def __init__(self, sources: list[str]):
-        pages = [Page(x) for x in sources]
+        every = [Page(x) for x in sources]
+        pages, tried = every[len(every) // 5 :], every[: len(every) // 5]
         known = []
         for p in pages:
             size, main = np.zeros(len(p.tag)), np.zeros(len(p.tag))
@@ -429,6 +474,13 @@ class Extractor:
         y = np.concatenate([y for _, (_, y) in odd]).astype(float)
         w = np.concatenate([(size > 0) * (1 + np.log1p(size)) for _, (size, _) in odd])
         self.trees = Boosted(x[w > 0], y[w > 0], w[w > 0] / w.mean())
+        scores = [(p, self.trees.logodds(features(p, self.odds))) for p in tried if p.blocks]
+        self.begin = min(BEGINNINGS, key=lambda b: sum(_wrong(p, decode(p, x, b)) for p, x in scores))
+
+
+def _wrong(p: Page, keep: np.ndarray) -> int:
+    """Blocks of a made page on the wrong side."""
+    return sum(bool(keep[node]) != text.startswith("kept") for node, text, _ in p.blocks)
 
 
 _model: list[Extractor] = []
@@ -442,7 +494,7 @@ def model() -> Extractor:
     return _model[0]
 
 
-def decode(p: Page, logodds: np.ndarray) -> np.ndarray:
+def decode(p: Page, logodds: np.ndarray, begin: float) -> np.ndarray:
     """Which nodes are inside main text."""
     n = len(p.tag)
     size = np.zeros(n)
@@ -453,9 +505,9 @@ def decode(p: Page, logodds: np.ndarray) -> np.ndarray:
     for k in range(n - 1, 0, -1):
         q = p.parent[k]
         inside[q] += max(inside[k], 0.0)
-        outside[q] += max(inside[k] - BEGIN, outside[k], 0.0)
+        outside[q] += max(inside[k] - begin, outside[k], 0.0)
     state = np.zeros(n, np.int8)  # 0 outside, 1 inside, 2 excluded
-    state[0] = 1 if inside[0] - BEGIN > outside[0] else 0
+    state[0] = 1 if inside[0] - begin > outside[0] else 0
     for k in range(1, n):
         above = state[p.parent[k]]
         if above == 2:
@@ -463,7 +515,7 @@ def decode(p: Page, logodds: np.ndarray) -> np.ndarray:
         elif above == 1:
             state[k] = 1 if inside[k] > 0 else 2
         else:
-            state[k] = 1 if inside[k] - BEGIN > 0 and inside[k] - BEGIN >= outside[k] else 0
+            state[k] = 1 if inside[k] - begin > 0 and inside[k] - begin >= outside[k] else 0
     return state == 1
 
 
@@ -475,7 +527,7 @@ def extract(sources: list[str | None], extractor: Extractor) -> list[str]:
     scores = extractor.trees.logodds(np.concatenate(found))
     out, at = [], 0
     for p, x in zip(pages, found):
-        keep = decode(p, scores[at : at + len(x)])
+        keep = decode(p, scores[at : at + len(x)], extractor.begin)
         at += len(x)
         out.append("\n".join(text for node, text, _ in p.blocks if keep[node]))
     return out
