@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, enrichment, planner, schedule, sequence
+from ..operators import candidates, enrichment, notes, planner, schedule, sequence, surface
 from ..session import materialize
 from .queries import docs, query
 
@@ -76,3 +76,33 @@ def book_schedules(spark, sf):
     ready = planner.book_units(materialize(candidates.described(rows, units, _BOOK)), units, _BOOK, "pair_id")
     plans = planner.plans(ready, _BOOK, "reader-visible-late", schedule=planned.select("book_id", "family", F.col("unit").alias("intro")))
     return plans.join(planned.groupBy("book_id").agg(F.count(F.lit(1)).alias("scheduled_families"), F.min("error_after").alias("schedule_error")), "book_id", "left")
+
+
+def _rendered(spark, sf):
+    found = materialize(candidates.items(alignment(spark, sf), _BOOK, _UNIT, _ORDER))
+    units = materialize(candidates.unit_counts(found, _BOOK, _UNIT))
+    rows = materialize(candidates.unit_candidates(found, _BOOK, _UNIT))
+    ready = planner.book_units(materialize(candidates.described(rows, units, _BOOK)), units, _BOOK, "pair_id")
+    return found, rows, materialize(planner.plans(ready, _BOOK))
+
+
+@query()
+def hybrid_paragraphs(spark, sf):
+    """Each unit's text with its plan's candidates in place; where two would overlap, the set that weighs most."""
+    found, rows, plans = _rendered(spark, sf)
+    return surface.rendered(plans, rows, surface.paragraphs(found, _BOOK, _UNIT), _BOOK, "heaviest")
+
+
+@query()
+def plan_notes(spark, sf):
+    """Notes of each book on what its plan introduces."""
+    _, rows, plans = _rendered(spark, sf)
+    return notes.notes(plans, rows, _BOOK, "relaxed")
+
+
+@query()
+def didactic_notes(spark, sf):
+    """One note for each pair of texts of the word links of a book."""
+    words = alignment(spark, sf).select("book_id", "pair_id", "source_paragraph", "source_start", F.explode("links").alias("l"))
+    actions = words.select("book_id", "pair_id", "source_paragraph", "source_start", F.col("l.source").alias("source"), F.lit("token").alias("granularity"), "l.source_text", "l.target_text")
+    return notes.didactic(actions, _BOOK, ["pair_id", "source_paragraph", "source_start", "source"])
