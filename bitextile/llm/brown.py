@@ -1,7 +1,7 @@
 """Scoring of texts with a Brown class-based bigram model.
 
-Learning covers every training text. Words are counted over the corpus; items are all words that training has LEAST
-times or more, so their number grows with the vocabulary. The exchange algorithm assigns items to classes, by all item
+Learning covers every training text. Words are counted over the corpus; items are all words that hold at least one in
+ITEMS of the training tokens, so there are ITEMS at most, however large the corpus is. The exchange algorithm assigns items to classes, by all item
 bigrams of the corpus (kept sparse), so that the likelihood of the class bigrams grows with every move, until no move
 is left. Each rarer training word then gets the class that its own neighbours in all its places make likeliest. Words
 that training never has get the class of most once-seen words with their ending. Class transitions are counted over
@@ -11,8 +11,8 @@ words that aren't items, so that a class's unseen words share what these give up
 the training words and one unknown word of each class.
 
 Items and common words (one in COMMON tokens at least) are broadcast; other tokens meet their counts and classes in a
-join, in which no key can hold more than one in COMMON of all rows. The driver holds the distinct bigrams of items:
-both grow with the corpus, more slowly than its tokens.
+join, in which no key can hold more than one in COMMON of all rows. The driver holds the distinct bigrams of items, whose
+number is bounded with the number of items; counts of words, their neighbours and classes stay in the cluster.
 
 Defined results: a null or empty text has one token, its end. Repeated rows count each time, and are scored each by
 itself. A null doc_id counts as the text "". Without training tokens every probability is as smoothing leaves it.
@@ -34,7 +34,7 @@ from ..session import materialize, prepare
 from .fingerprint import slices
 from .textvec import FOLD_BYTES
 
-LEAST, SIGNATURES, COMMON, CLASSES = 400, 512, 200_000, 48
+ITEMS, SIGNATURES, COMMON, CLASSES = 10_000, 512, 200_000, 48
 FLUSH = 400_000
 PAIRS = 4_000_000
 #: No word has this byte.
@@ -368,8 +368,9 @@ def _score(transition):
     return run
 
 
-def train_and_score(docs: DataFrame, modulus: int = 7, remainder: int = 2, least: int = LEAST) -> DataFrame:
-    """Learn from the documents whose crc32(doc_id as text) mod modulus isn't remainder; score all."""
+def train_and_score(docs: DataFrame, modulus: int = 7, remainder: int = 2, least: int | None = None) -> DataFrame:
+    """Learn from the documents whose crc32(doc_id as text) mod modulus isn't remainder; score all. least: training uses
+    that make a word an item, by default one in ITEMS of the training tokens."""
     spark = prepare(docs.sparkSession)
     split, k = (modulus, remainder), CLASSES + 1
     share = spark.sparkContext.broadcast
@@ -377,6 +378,7 @@ def train_and_score(docs: DataFrame, modulus: int = 7, remainder: int = 2, least
     counted = rows.mapInArrow(_count(split), "word binary, sig int, n_all long, n_train long")
     counts = materialize(counted.groupBy("word", "sig").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train")))
     n_all, n, v = (x or 0 for x in counts.agg(F.sum("n_all"), F.sum("n_train"), F.sum((F.col("n_train") > 0).cast("long"))).first())
+    least = max(1, -(-n // ITEMS)) if least is None else least
     is_item = (F.col("n_train") >= least) | (F.col("word") == F.lit(END))
     listed = counts.where(is_item | (F.col("n_all") * COMMON >= n_all)).select("word", "sig", "n_train", is_item.alias("item")).toPandas()
     listed["word"] = listed["word"].map(bytes)
