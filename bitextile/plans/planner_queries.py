@@ -47,7 +47,8 @@ def sentence_enrichment(spark, sf):
 
 @query()
 def enrichment_summary(spark, sf):
-    return enrichment.summary(alignment(spark, sf), ["pair_id"])
+    links = sequence.sentence_links(docs(spark, sf))
+    return enrichment.summary(enrichment.enriched(links), ["pair_id"])
 
 
 @query()

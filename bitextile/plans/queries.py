@@ -271,13 +271,10 @@ def prefix_error(spark, sf):
     return timeline.prefix_error(curve)
 
 
-@query("with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e, label from embeddings), s as (select a.vec_id as sample_id, b.vec_id as candidate, a.label = b.label as positive, round(list_dot_product(a.e, b.e), 6) as score from v a join v b on b.vec_id between a.vec_id + 1 and a.vec_id + 4 where a.vec_id % 5 = 0), r as (select *, row_number() over (partition by sample_id order by score desc, candidate) as k from s) select count(*) as samples, avg(case when k = 1 then 1.0 else 0.0 end) as top1, avg(1 / k) as mrr from r where positive")
+@query("with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e, label from embeddings), s as (select a.vec_id as q, b.vec_id as c, a.label = b.label as positive, round(list_dot_product(a.e, b.e), 6) as score from v a join v b on b.vec_id <> a.vec_id where a.vec_id % 100 = 0), r as (select *, row_number() over (partition by q order by score desc, c) as k from s), f as (select q, min(k) as k from r where positive group by q) select count(*) as samples, avg(case when k = 1 then 1.0 else 0.0 end) as top1, avg(1 / k) as mrr from f")
 def encoder_mrr(spark, sf):
-    """Each fifth vector is a query for the four after it: the queries and windows of an evaluation set."""
-    v = table(prepare(spark), sf, "embeddings")
-    a = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("la"), F.col("embedding").alias("ea"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 4)).alias("candidate"))
-    s = a.join(v.select(F.col("vec_id").alias("candidate"), F.col("label").alias("lb"), F.col("embedding").alias("eb")), "candidate")
-    return reports.encoder_ranks(s.select("sample_id", "candidate", (F.col("la") == F.col("lb")).alias("positive"), T.dot(F.col("ea"), F.col("eb")).alias("score")))
+    """Vectors with an id divisible by 100 against all vectors."""
+    return reports.encoder_ranks(table(prepare(spark), sf, "embeddings"))
 
 
 @query(f"with {PARA} select doc_id, p as paragraph_index, case when len(w) = 0 then 0.0 else len(list_filter(w, lambda x: list_contains({sorted({*T.GERMAN, *T.LATIN})}, x))) / len(w) end as foreign_ratio from (select doc_id, p, regexp_extract_all(lower(t), '[A-Za-zÀ-ž'']+') as w from para)")
@@ -317,10 +314,14 @@ def czech_order(spark, sf):
 
 @query()
 def policy_gates(spark, sf):
+    """Gates of all word links, with parts of speech by the analyser."""
     from ..operators import planning
+    from .planner_queries import alignment
 
-    links = materialize(sequence.sentence_links(docs(spark, sf)).where(F.col("score") >= 0.45))
-    return planning.gated(materialize(sequence.word_links(links)), links, planning.Gates(require_low_false_friend_risk=True))
+    rows = alignment(spark, sf).where("status = 'sentence_safe'")
+    keys = ["pair_id", "source_paragraph", "source_start"]
+    words = rows.select(*keys, F.explode("links").alias("l")).select(*keys, F.col("l.source").alias("source_token"), F.col("l.target").alias("target_token"), "l.relation", F.col("l.score").alias("token_score"), "l.source_upos", "l.target_upos")
+    return planning.gated(words, rows.select(*keys, "score"), planning.Gates(require_low_false_friend_risk=True, require_low_inflection_risk=True))
 
 
 @query()
@@ -374,7 +375,7 @@ def tree_closure(spark, sf):
 
 @query(f"with {PARA}, g as (select doc_id, p, {SQUEEZED.format('t')} as z from para), b as (select doc_id, p, unnest(list_transform(range(1, greatest(len(z) - 2, 1) + 1), lambda i: ('0x' || substr(md5(substr(z, i, 3)), 1, 8))::bigint % 128)) as k from g), c as (select doc_id, p, k, count(*) as n from b group by all) select doc_id, p as paragraph_index, cast(k as integer) as bucket, n / sqrt(sum(n * n) over (partition by doc_id, p)) as weight from c")
 def hashed_vectors(spark, sf):
-    """Non-zero places of the vectors of all paragraphs. The SQL has those of first paragraphs only."""
+    """Non-zero places of the vectors of all paragraphs."""
     rows = corpus.paragraph_rows(docs(spark, sf))
     return rows.select("doc_id", "paragraph_index", F.posexplode(T.hashed_trigrams(F.col("text"))).alias("bucket", "weight")).where("weight > 0")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
         sc.environment.setdefault("MALLOC_ARENA_MAX", "2")
         sc.environment.setdefault("MALLOC_TRIM_THRESHOLD_", "1048576")
+        if not sc.master.startswith("local"):  # executors elsewhere don't have this folder
+            sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "bitextile"), "zip", ROOT, "bitextile"))
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
