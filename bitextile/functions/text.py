@@ -113,6 +113,11 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
     return let(F.struct(common.alias("c"), F.size(F.array_union(a, b)).alias("u")), lambda x: F.when(x["u"] == 0, F.lit(both_empty)).otherwise(x["c"] / x["u"]))
 
 
+def distinct_jaccard(a: Column, b: Column) -> Column:
+    """jaccard() of arrays without repeated values: their union is counted, not built."""
+    return let(F.size(F.array_intersect(a, b)), lambda c: F.when(F.size(a) + F.size(b) == 0, F.lit(0.0)).otherwise(c / (F.size(a) + F.size(b) - c)))
+
+
 def set_overlap(a: Column, b: Column) -> Column:
     return jaccard(a, b, 1.0)
 

@@ -32,16 +32,17 @@ def windowed(docs: DataFrame, window: int = 3) -> DataFrame:
     width = 2 * window + 1
     rows = doc_pairs(docs).withColumns({"n": F.size("a"), "m": F.size("b")}).where("m > 0")
     grams = lambda c: F.transform(T.grams(T.squeezed(F.col(c))), lambda g: F.xxhash64(g))
-    left = rows.select("pair_id", "n", "m", F.posexplode("a").alias("k", "source_text")).select("pair_id", "n", "m", (F.col("k") + 1).alias("i"), "source_text", grams("source_text").alias("g"))
+    # Lengths and sets of trigrams are made before the join, so texts pass it only where they are wanted.
+    left = rows.select("pair_id", "n", "m", F.posexplode("a").alias("k", "source_text")).select("pair_id", "n", "m", (F.col("k") + 1).alias("i"), "source_text", F.length("source_text").alias("source_length"), grams("source_text").alias("g"))
     expected = T.expected_index(F.col("i"), F.col("n"), F.col("m"))
     left = left.withColumns({"low": F.greatest(F.lit(1), expected - window), "high": F.least(F.col("m"), expected + window)}).where("low <= high")
     slot = lambda c: F.floor((F.col(c) - 1) / width).cast("int")
     left = left.withColumn("bin", F.explode(F.array_distinct(F.array(slot("low"), slot("high")))))
-    right = rows.select("pair_id", F.posexplode("b").alias("k", "target_text")).select("pair_id", (F.col("k") + 1).alias("j"), "target_text", grams("target_text").alias("h"))
+    right = rows.select("pair_id", F.posexplode("b").alias("k", "target_text")).select("pair_id", (F.col("k") + 1).alias("j"), "target_text", F.length("target_text").alias("target_length"), grams("target_text").alias("h"))
     met = left.join(right.withColumn("bin", slot("j")), ["pair_id", "bin"]).where("j between low and high")
     return met.select(
         "pair_id", "i", "j", "source_text", "target_text", T.position_similarity(F.col("i"), F.col("n"), F.col("j"), F.col("m")).alias("position"),
-        T.ratio(F.length("source_text"), F.length("target_text")).alias("length"), T.jaccard(F.col("g"), F.col("h")).alias("char_trigram"),
+        T.ratio(F.col("source_length"), F.col("target_length")).alias("length"), T.distinct_jaccard(F.col("g"), F.col("h")).alias("char_trigram"),
     ).withColumn("score", F.col("position") * 0.50 + F.col("length") * 0.30 + F.col("char_trigram") * 0.20)
 
 

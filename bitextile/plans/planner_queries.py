@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, enrichment, notes, planner, schedule, sequence, surface
+from ..operators import candidates, enrichment, notes, planner, replacements, schedule, sequence, surface
 from ..session import materialize
 from .queries import docs, query
 
@@ -107,3 +107,14 @@ def didactic_notes(spark, sf):
     words = alignment(spark, sf).select("book_id", "pair_id", "source_paragraph", "source_start", F.explode("links").alias("l"))
     actions = words.select("book_id", "pair_id", "source_paragraph", "source_start", F.col("l.source").alias("source"), F.lit("token").alias("granularity"), "l.source_text", "l.target_text")
     return notes.didactic(actions, _BOOK, ["pair_id", "source_paragraph", "source_start", "source"])
+
+
+@query()
+def replacement_safety(spark, sf):
+    """Coverage of words and confidence by size, of each pair and over all, with hashed trigram vectors as encoder."""
+    return replacements.replacement_safety(alignment(spark, sf, T.hashed_trigrams), ["pair_id"])
+
+
+@query()
+def action_rows(spark, sf):
+    return replacements.action_rows(alignment(spark, sf), ["pair_id", "source_paragraph", "source_start", "target_start"])
