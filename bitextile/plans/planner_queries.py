@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, enrichment, notes, planner, replacements, schedule, sequence, surface
+from ..operators import candidates, corpus, enrichment, notes, package, planner, replacements, schedule, sequence, surface
 from ..session import materialize
-from .queries import docs, query
+from .queries import PARA, docs, query
 
 PAIRS = 10
 _BOOK, _UNIT, _ORDER = ["book_id"], ["pair_id", "source_paragraph"], ["source_start", "target_start"]
@@ -118,3 +118,21 @@ def replacement_safety(spark, sf):
 @query()
 def action_rows(spark, sf):
     return replacements.action_rows(alignment(spark, sf), ["pair_id", "source_paragraph", "source_start", "target_start"])
+
+
+@query()
+def book_package(spark, sf):
+    """Books as chapters: texts with their plans' candidates, each note once in a book, families known by then."""
+    found, rows, plans = _rendered(spark, sf)
+    texts = materialize(surface.rendered(plans, rows, surface.paragraphs(found, _BOOK, _UNIT), _BOOK, "heaviest"))
+    chosen = notes.selected_rows(plans, rows, _BOOK).select("book_id", "pair_id", "unit_index", "at", "granularity", "source_text", "target_text")
+    each = notes.didactic(chosen, [*_BOOK, "pair_id"], ["unit_index", "at"])
+    kept = package.first_in_book(each, _BOOK, "pair_id", ["granularity", "source_text", "target_text"], ["note_id"])
+    return package.chapters(texts, kept, plans, _BOOK, "pair_id")
+
+
+@query(f"with {PARA}, n as (select distinct cast(doc_id // 20 as bigint) as book_id, cast(doc_id % 20 + 1 as integer) as chapter_index, lower(trim(t)) as k from para), f as (select book_id, k, min(chapter_index) as chapter_index from n group by book_id, k) select book_id, chapter_index, count(*) as notes from f group by book_id, chapter_index")
+def book_notes(spark, sf):
+    """Lines as notes: how many each chapter keeps that no earlier chapter of its book has."""
+    lines = corpus.paragraph_rows(docs(spark, sf)).select(F.floor(F.col("doc_id") / corpus.CHAPTERS).cast("long").alias("book_id"), (F.col("doc_id") % corpus.CHAPTERS + 1).cast("int").alias("chapter_index"), "paragraph_index", "text")
+    return package.first_in_book(lines, ["book_id"], "chapter_index", ["text"], ["paragraph_index"]).groupBy("book_id", "chapter_index").agg(F.count(F.lit(1)).alias("notes"))
