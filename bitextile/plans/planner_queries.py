@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, corpus, enrichment, notes, package, planner, replacements, schedule, sequence, surface
-from ..session import materialize
+from ..operators import candidates, corpus, enrichment, glossary, notes, package, planner, replacements, schedule, sequence, snapshots, surface
+from ..session import materialize, shared_path
 from .queries import PARA, docs, query
 
 PAIRS = 10
@@ -136,3 +136,20 @@ def book_notes(spark, sf):
     """Lines as notes: how many each chapter keeps that no earlier chapter of its book has."""
     lines = corpus.paragraph_rows(docs(spark, sf)).select(F.floor(F.col("doc_id") / corpus.CHAPTERS).cast("long").alias("book_id"), (F.col("doc_id") % corpus.CHAPTERS + 1).cast("int").alias("chapter_index"), "paragraph_index", "text")
     return package.first_in_book(lines, ["book_id"], "chapter_index", ["text"], ["paragraph_index"]).groupBy("book_id", "chapter_index").agg(F.count(F.lit(1)).alias("notes"))
+
+
+@query()
+def book_dictionary(spark, sf):
+    """The dictionary of what each book's plan shows."""
+    _, rows, plans = _rendered(spark, sf)
+    chosen, found = materialize(notes.selected_rows(plans, rows, _BOOK)), materialize(notes.notes(plans, rows, _BOOK))
+    return glossary.entries(glossary.used(chosen, found, _BOOK), found, _BOOK)
+
+
+@query()
+def snapshot_tokens(spark, sf):
+    """All sentences with their tokens, each distinct one of them analysed once."""
+    rows = materialize(corpus.sentence_rows(docs(spark, sf)).select("doc_id", "paragraph_index", "sentence_index", "text"))
+    path = shared_path(spark, "snapshots")
+    snapshots.refresh(rows.select(F.lit("cs").alias("language"), "text"), path, enrichment.analysed, ["cs"])
+    return snapshots.with_tokens(rows, path, F.lit("cs"), "text", "tokens")
