@@ -117,7 +117,8 @@ def replacement_safety(spark, sf):
 
 @query()
 def action_rows(spark, sf):
-    return replacements.action_rows(alignment(spark, sf), ["pair_id", "source_paragraph", "source_start", "target_start"])
+    rows = alignment(spark, sf).withColumnsRenamed({"source_start": "sentence", "target_start": "target_sentence"})
+    return replacements.action_rows(rows, ["pair_id", "source_paragraph", "sentence", "target_sentence"])
 
 
 @query()
@@ -143,7 +144,7 @@ def book_dictionary(spark, sf):
     """The dictionary of what each book's plan shows."""
     _, rows, plans = _rendered(spark, sf)
     chosen, found = materialize(notes.selected_rows(plans, rows, _BOOK)), materialize(notes.notes(plans, rows, _BOOK))
-    return glossary.entries(glossary.used(chosen, found, _BOOK), found, _BOOK)
+    return glossary.entries(materialize(glossary.used(chosen, found, _BOOK)), found, _BOOK)
 
 
 @query()
