@@ -44,6 +44,8 @@ LEAST, DEPTH, TOP, SHARE = 100, 5, 2000, 100
 SHARD_BYTES, RANGE_BYTES, SAMPLE_BYTES = 8 << 20, 32 << 20, 16 << 10
 #: Runs that a merge holds before it adds up equal ones.
 PENDING = 4_000_000
+#: Bytes of words that are compared at once.
+COMPARED = 1 << 20
 #: Bits of the number of slots for hashed words: at most, at least; words for each slot.
 MOST_SLOTS, LEAST_SLOTS, SLOT_WORDS = 28, 16, 32
 
@@ -77,6 +79,23 @@ class Words:
         """Language and word: no word has a line feed."""
         return self.langs[self.lang[k]] + b"\n" + self.data[self.begin[k] : self.end[k]].tobytes().translate(tv.FOLD_BYTES)
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the words at a and at b are equal: language and folded bytes."""
+        size = self.end - self.begin
+        out = (self.lang[a] == self.lang[b]) & (size[a] == size[b])
+        at = np.flatnonzero(out & (a != b))
+        a, b, total = a[at], b[at], np.cumsum(size[a[at]])
+        lo = 0
+        while lo < len(at):  # about COMPARED bytes at a time, one word at least
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + COMPARED, "right")))
+            n = size[a[lo:hi]]
+            starts = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(starts, n)
+            x, y = (tv.FOLD[self.data[np.repeat(self.begin[k[lo:hi]], n) + step]] for k in (a, b))
+            out[at[lo:hi]] = ~np.logical_or.reduceat(x != y, starts)
+            lo = hi
+        return out
+
 
 def runs(words: Words, alive: np.ndarray, goes_on: np.ndarray, depth: int, bounds: list[tuple[bytes, ...]]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
     """Sorted entries (from 1; 0: the run has ended), columns of the sorted distinct runs, and their counts."""
@@ -85,7 +104,12 @@ def runs(words: Words, alive: np.ndarray, goes_on: np.ndarray, depth: int, bound
     code[at], found = pd.factorize(words.hash[at])
     first = np.zeros(len(found), np.int64)
     first[code[at][::-1]] = at[::-1]
-    own = [words.entry(k) for k in first.tolist()]
+    # Equal hashes may be of different words (long ones can be made so): their bytes decide.
+    other = at[~words.same(at, first[code[at]])]
+    more: dict[bytes, int] = {}
+    for k in other.tolist():
+        code[k] = len(found) + more.setdefault(words.entry(k), len(more))
+    own = [*(words.entry(k) for k in first.tolist()), *more]
     vocab = sorted({*own, *(w for b in bounds for w in b)})
     number = {w: k + 1 for k, w in enumerate(vocab)}
     ids = np.array([number[w] for w in own], np.int64)

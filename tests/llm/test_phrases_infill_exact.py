@@ -90,6 +90,17 @@ def test_phrases_of_odd_rows(spark):
         assert sorted(tuple(x) for x in collocations.collocations(frame(spark, rows), 2, 3).collect()) == plain_phrases(rows, 2, 3, 2000)
 
 
+def test_words_of_equal_hashes_stay_apart(spark):
+    """Thue-Morse words of 2,048 letters and their inverses have equal polynomial hashes modulo 2^64."""
+    a = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    words = collocations.Words(*(__import__("pyarrow").array(x) for x in ([f"{a} {b} x"], ["en"])))
+    assert words.hash[0] == words.hash[1] and words.same(np.array([0, 0, 2]), np.array([0, 1, 2])).tolist() == [True, False, True]
+    rows = [(k, f"{a} q {b} z {a} {b} {b}" if k % 2 else f"{b} q {a.upper()} z", "en") for k in range(12)]
+    want = plain_phrases(rows, 5, 3, 2000)
+    assert sorted(tuple(x) for x in collocations.collocations(frame(spark, rows).repartition(3), 5, 3).collect()) == want and want
+
+
 def test_scores_beyond_64_bits(spark):
     from pyspark.sql import functions as F
 
