@@ -54,3 +54,11 @@ def test_places_and_keys(spark):
     for a, b, want in titles:
         assert one.select(T.title_similarity(F.lit(a), F.lit(b))).first()[0] == want
     assert one.select(T.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))).first()[0] == 11.0
+
+
+def test_equally_long_phrases_by_their_order(spark):
+    from bitextile.operators import lookups
+
+    df = spark.createDataFrame([("Of the man in der Stadt",), ("in der mit uns, of the",), ("de la x",), ("nothing",)], "text string")
+    for phrases, first in ((["de la", "of the", "in der", "mit uns"], "of the"), (["in der", "of the", "mit uns", "de la"], "in der")):
+        assert [r.phrase for r in lookups.longest_phrase(df, phrases).collect()] == [first, "mit uns", "de la", None]
