@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from bitextile import session
 from bitextile.operators import snapshots as S
 from bitextile.operators.enrichment import analysed
+from bitextile.plans import queries as Q
+from bitextile.plans import planner_queries as _  # noqa: F401  registers snapshot_tokens
 
 
 def test_each_text_is_analysed_once(spark, tmp_path):
@@ -29,3 +32,20 @@ def test_rows_get_their_tokens(spark, tmp_path):
     for x in got:
         assert x["tokens"] == (want[x["language"], x["text"]] if x["text"] else None)
     assert S.with_tokens(rows.limit(0), path, F.col("language"), "text", "tokens").count() == 0
+
+
+def test_rows_without_a_store_have_the_same_tokens(spark):
+    texts = ["Pan idzie.", "Ano, ano", "12 ² ½ dom", "Žluťoučký Kůň a K2 že ﬁn ＡＢ Ⅷ ǅ ΟΔΟΣ Ёлка 漢字 é ß İ _x - , „ ” ?", "...", "ová Nová nová ١٢", "𝒜b 𐐀c Dům", "  ", "x" * 3000, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts * 3)), "k int, text string")
+    for language in ("pl", "cs", "xx"):
+        want = rows.select("k", F.when(F.col("text") != "", analysed(F.col("text"), language)).alias("tokens")).collect()
+        got = S.analysed_rows(rows, language, "text", "tokens").select("k", "tokens").collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_snapshot_tokens_write_no_table(spark, tmp_path):
+    """Before, sentences, distinct sentences and a store of tokens were written, and the store dealt out."""
+    spark.createDataFrame([(k, "Pan idzie. Ano!\n\n12 a x") for k in range(20)] + [(20, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    written = len(session._tables)
+    got = Q.QUERIES["snapshot_tokens"](spark, str(tmp_path))
+    assert got.count() == 60 and len(session._tables) == written and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
